@@ -134,7 +134,7 @@ def percent(part: Column, whole: Column) -> Column:
 
 
 def clamp_score(score: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), score))
+    return F.when(score.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)))
 
 
 def numeric_score(missing_pct: Column, outlier_pct: Column, has_moments: Column) -> Column:

@@ -14,23 +14,33 @@ from weirworks.operators.groups import top_groups
 
 
 def _bins(df: DataFrame, column: str, bins: int) -> DataFrame:
-    """(bin, bin_low, bin_high, n): equal-width bins, the last one closed; empty bins are kept."""
+    """(bin, bin_low, bin_high, n, share, mean): equal-width bins, the last one closed; empty bins are kept.
+
+    A first pass fetches the range as one row; ``share`` is the part of the values, ``mean`` their mean.
+    """
     values = df.select(quoted(column).cast("double").alias("x")).filter(F.col("x").isNotNull())
-    ends = values.agg(F.struct(F.min("x").alias("lo"), F.max("x").alias("hi")).alias("e")).scalar()
-    single = ends.getField("lo") == ends.getField("hi")
-    low = ends.getField("lo") - F.when(single, 0.5).otherwise(0.0)
-    high = ends.getField("hi") + F.when(single, 0.5).otherwise(0.0)
-    placed = values.select(
-        F.least(F.floor((F.col("x") - low) / (high - low) * bins), F.lit(bins - 1)).cast("bigint").alias("bin")
+    ends = values.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n"), F.avg("x").alias("m")).first()
+    if not ends["n"]:
+        shape = "bin bigint, bin_low double, bin_high double, n bigint, share double, mean double"
+        return df.sparkSession.createDataFrame([], shape)
+    widen = 0.5 if ends["lo"] == ends["hi"] else 0.0
+    low, high = ends["lo"] - widen, ends["hi"] + widen
+    place = F.floor((F.col("x") - F.lit(low)) / F.lit(high - low) * bins)
+    counted = (
+        values.select(F.least(place, F.lit(bins - 1)).cast("bigint").alias("bin"))
+        .groupBy("bin")
+        .agg(F.count("*").alias("n"))
     )
-    counted = placed.groupBy("bin").agg(F.count("*").alias("n"))
-    edges = df.sparkSession.range(bins).select(F.col("id").alias("bin"))
-    width = (high - low) / bins
-    return edges.join(counted, "bin", "left").select(
+    edges = df.sparkSession.range(0, bins, 1, 1).select(F.col("id").alias("bin"))
+    width = F.lit((high - low) / bins)
+    n = F.coalesce("n", F.lit(0)).cast("bigint")
+    return edges.join(F.broadcast(counted), "bin", "left").select(  # at most one row per bin
         "bin",
-        (low + F.col("bin") * width).alias("bin_low"),
-        (low + (F.col("bin") + 1) * width).alias("bin_high"),
-        F.coalesce("n", F.lit(0)).cast("bigint").alias("n"),
+        (F.lit(low) + F.col("bin") * width).alias("bin_low"),
+        (F.lit(low) + (F.col("bin") + 1) * width).alias("bin_high"),
+        n.alias("n"),
+        (n / F.lit(ends["n"])).alias("share"),
+        F.lit(ends["m"]).alias("mean"),
     )
 
 
@@ -39,9 +49,14 @@ def histogram(df: DataFrame, column: str, bins: int = 30, cap_percentile: float
     probs = [0.5] if cap_percentile is None else [0.5, cap_percentile / 100.0]
     found = quantile_values(df, [column], probs).get(column, [None] * len(probs))
     kept = df if cap_percentile is None else df.filter(quoted(column) <= F.lit(found[1]).cast("double"))
-    mean = df.agg(F.avg(quoted(column))).scalar()
+    mean = df.agg(F.avg(quoted(column)).alias("m")).first()["m"]
     return _bins(kept, column, bins).select(
-        "*", mean.alias("mean"), F.lit(found[0]).cast("double").alias("median")
+        "bin",
+        "bin_low",
+        "bin_high",
+        "n",
+        F.lit(mean).cast("double").alias("mean"),
+        F.lit(found[0]).cast("double").alias("median"),
     )
 
 
@@ -49,10 +64,8 @@ def density_shift(before: DataFrame, after: DataFrame, column: str, bins: int =
     """(dataset, bin, bin_low, bin_high, density) of both frames, each over its own range."""
     parts = []
     for name, df in (("raw", before), ("cleaned", after)):
-        table = _bins(df, column, bins)
-        total = df.agg(F.count(quoted(column))).scalar()
-        density = F.col("n") / (total * (F.col("bin_high") - F.col("bin_low")))
-        parts.append(table.select(F.lit(name).alias("dataset"), "bin", "bin_low", "bin_high", density.alias("density")))
+        density = F.col("share") / (F.col("bin_high") - F.col("bin_low"))
+        parts.append(_bins(df, column, bins).select(F.lit(name).alias("dataset"), "bin", "bin_low", "bin_high", density.alias("density")))
     return parts[0].unionByName(parts[1])
 
 

@@ -81,6 +81,8 @@ def knee(curve: Sequence[tuple[int, float]], sensitivity: float = 1.0) -> int |
             peak = i
         elif peak is not None and distance[i] < distance[peak] - drop:
             return curve[peak][0]
+        elif i + 1 < len(distance) and distance[i] <= min(distance[i - 1], distance[i + 1]):
+            peak = None
     return None
 
 

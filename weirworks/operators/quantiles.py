@@ -61,20 +61,15 @@ def _holds_rank() -> Column:
     return (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("n"))
 
 
-def _wanted(probs: Sequence[float], total: Column) -> Column:
-    wanted = []
-    for prob in probs:
-        position = F.lit(float(prob)) * (total - 1)
-        for side, rank in (("lo", F.floor(position)), ("hi", F.ceil(position))):
-            wanted.append(
-                F.struct(
-                    F.lit(float(prob)).alias("prob"),
-                    F.lit(side).alias("side"),
-                    rank.cast("bigint").alias("rank"),
-                    (position - F.floor(position)).alias("part"),
-                )
-            )
-    return F.inline(F.array(*wanted))
+def _with_ranks(totals: DataFrame, probs: Sequence[float]) -> DataFrame:
+    """Every row once per wanted rank: the neighbours (lo, hi) of each probability and the part between them."""
+    position = F.col("prob") * (F.col("total") - 1)
+    rank = F.when(F.col("side") == "lo", F.floor(position)).otherwise(F.ceil(position))
+    return (
+        totals.select("*", F.explode(F.lit([float(p) for p in probs])).alias("prob"))
+        .select("*", F.explode(F.lit(["lo", "hi"])).alias("side"))
+        .select("*", rank.cast("bigint").alias("rank"), (position - F.floor(position)).alias("part"))
+    )
 
 
 def _local(df: DataFrame, rows: Sequence[Row], names: Sequence[str]) -> DataFrame:
@@ -99,11 +94,8 @@ def exact_quantiles(
         F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high")
     )
     total = F.sum("n").over(Window.partitionBy(*map(quoted, group)))
-    picked = (
-        totals.select("*", (_running(group, ["bucket"]) - F.col("n")).alias("before"), total.alias("total"))
-        .select("*", _wanted(probs, F.col("total")))
-        .filter(_holds_rank())
-    )
+    spans = totals.select("*", (_running(group, ["bucket"]) - F.col("n")).alias("before"), total.alias("total"))
+    picked = _with_ranks(spans, probs).filter(_holds_rank())
     bucket_names = [*group, "bucket", "low", "high", "before"]
     rank_names = [*group, "bucket", "prob", "side", "rank", "part"]
     rows = picked.limit(small_targets + 1).collect()

@@ -45,18 +45,15 @@ def mark_folds(df: DataFrame, key: str, folds: int = 5, seed: int = 42) -> DataF
 
 def standard_scale(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Centre and divide by the population deviation; a constant column becomes 0."""
-    single = F.struct(
+    stats = df.agg(
         *[F.avg(quoted(c)).alias(f"m{i}") for i, c in enumerate(columns)],
         *[F.stddev_pop(quoted(c)).alias(f"s{i}") for i, c in enumerate(columns)],
-    )
-    stats = df.agg(single.alias("s")).scalar()
+    ).first()  # one row
     kept = [quoted(c) for c in df.columns if c not in columns]
-    scaled = []
-    for i, c in enumerate(columns):
-        deviation = stats.getField(f"s{i}")
-        scaled.append(
-            ((quoted(c) - stats.getField(f"m{i}")) / F.when(deviation > 0, deviation).otherwise(1.0)).alias(c)
-        )
+    scaled = [
+        ((quoted(c) - F.lit(stats[f"m{i}"])) / F.lit(stats[f"s{i}"] or 1.0)).cast("double").alias(c)
+        for i, c in enumerate(columns)
+    ]
     return df.select(*kept, *scaled)
 
 
@@ -71,11 +68,11 @@ class PopulationScaler(Estimator):
         scaler = StandardScaler(inputCol=self.input_col, outputCol="_sample_scaled", withMean=True, withStd=True)
         n = dataset.count()
         factor = (n / (n - 1)) ** 0.5 if n > 1 else 1.0
-        width = len(dataset.select(self.input_col).first()[0])
+        fitted = scaler.fit(dataset)
         stretch = ElementwiseProduct(
-            scalingVec=Vectors.dense([factor] * width), inputCol="_sample_scaled", outputCol=self.output_col
+            scalingVec=Vectors.dense([factor] * fitted.mean.size), inputCol="_sample_scaled", outputCol=self.output_col
         )
-        return PipelineModel([scaler.fit(dataset), stretch])
+        return PipelineModel([fitted, stretch])
 
 
 class RidgeRegression(Estimator):

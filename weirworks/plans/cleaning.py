@@ -30,6 +30,7 @@ from weirworks.operators.rules import (
     trim_text,
 )
 from weirworks.operators.schema import require_columns
+from weirworks.session import materialised
 from weirworks.sources.sinks import write_report, write_snapshot, write_table
 
 
@@ -241,10 +242,12 @@ def strategy_rules(base: CleaningRules) -> dict[str, CleaningRules]:
 
 
 def strategy_summary(df: DataFrame, strategies: Mapping[str, CleaningRules]) -> DataFrame:
-    """One row of figures per strategy."""
+    """One row of figures per strategy, all over one stored input."""
+    df = materialised(df, "strategies")
     return stack_labelled({name: cleaning_metrics(df, rules) for name, rules in strategies.items()}, "strategy")
 
 
 def strategy_removals(df: DataFrame, strategies: Mapping[str, CleaningRules]) -> DataFrame:
-    """(strategy, step, rule, rows_removed) over all strategies."""
+    """(strategy, step, rule, rows_removed) over all strategies, all over one stored input."""
+    df = materialised(df, "strategies")
     return stack_labelled({name: removal_breakdown(df, rules) for name, rules in strategies.items()}, "strategy")

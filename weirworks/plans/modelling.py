@@ -24,7 +24,7 @@ from weirworks.operators.groups import top_features
 from weirworks.operators.regression import batch_predict, regression_metrics, standard_scale
 from weirworks.operators.rules import require_input
 from weirworks.operators.tuning import compare_models, grid_search, refit_best, search_table
-from weirworks.session import checkpointed
+from weirworks.session import materialised
 from weirworks.sources.sinks import load_model, save_model
 
 
@@ -43,7 +43,7 @@ def model_workflow(
     """Complete rows, interactions, selection by importance, comparison, search, stored model, predictions, charts."""
     complete = require_input(df, [*features, target], min_rows=10)
     wide = interaction_features(complete.select(quoted(key), *map(quoted, [*features, target])), features)
-    wide = checkpointed(wide)  # read by every fit below
+    wide = materialised(wide, "model-input")  # read by every fit below
     candidates = [c for c in wide.columns if c not in (key, target)]
     picked = select_importance(wide, candidates, target, trees=trees, seed=seed)
     chosen = [r["feature"] for r in picked.filter("selected").collect()]
@@ -77,10 +77,10 @@ def cluster_workflow(
     seed: int = 42,
 ) -> dict[str, DataFrame]:
     """Features, elbow curve, clusters of the chosen size, their profile and quality."""
-    prepared = checkpointed(cluster_features(df, key, base, optional))
+    prepared = materialised(cluster_features(df, key, base, optional), "cluster-input")
     features = [c for c in prepared.columns if c != key]
     chosen, curve = find_k(prepared, features, k_min, k_max, starts, max_iter, seed)
-    assigned = checkpointed(assign_clusters(prepared, key, features, chosen, max_iter, seed))
+    assigned = materialised(assign_clusters(prepared, key, features, chosen, max_iter, seed), "clusters")
     scaled = standard_scale(assigned, features)
     score = silhouette(scaled, features)
     quality = separation(scaled, features, "cluster").select(

@@ -24,6 +24,7 @@ from weirworks.operators.profile import (
 )
 from weirworks.operators.schema import header_table, narrow_types, require_columns, suggest_names
 from weirworks.plans.cleaning import CleaningRules, clean
+from weirworks.session import materialised
 from weirworks.sources.tables import scan_csv
 
 
@@ -110,7 +111,7 @@ def load_and_explore(
     narrow: bool = False,
 ) -> tuple[DataFrame, dict[str, DataFrame]]:
     """Read, check and profile one CSV table; a failed check raises."""
-    df = scan_csv(spark, path, schema, columns, required)
+    df = materialised(scan_csv(spark, path, schema, columns, required), "loaded")  # text is parsed once
     require_valid(df, required)
     tables = explore(df, required)
     return (narrow_types(df) if narrow else df), tables
@@ -139,10 +140,11 @@ def load_scenarios(
 
     Block size never changes a result, so it is not one of the scenarios (see ``scan_split``).
     """
+    whole = materialised(scan_csv(spark, path, schema), "loaded")
     variants = {
-        "default": narrow_types(scan_csv(spark, path, schema)),
+        "default": narrow_types(whole),
         "selected_columns": narrow_types(scan_csv(spark, path, schema, selected, required)),
-        "wide_types": scan_csv(spark, path, schema),
+        "wide_types": whole,
     }
     parts = []
     for name, df in variants.items():
@@ -161,7 +163,8 @@ def analyse(df: DataFrame, company: str, region: str, periods: Sequence[str], to
     require_columns(df, [company])
     if not df.take(1):
         raise ValueError("cannot analyse an empty table")
-    measured = with_measures(df, periods)
+    kept = [quoted(k) for k in dict.fromkeys((company, region)) if k in df.columns]
+    measured = materialised(with_measures(df, periods).select(*kept, "row_mean", "trend_delta"), "measured")
     companies = group_stats(measured, company, "row_mean")
     regions = group_stats(measured, region, "row_mean")
     keys = [k for k in (company, region) if k in df.columns]
@@ -198,7 +201,8 @@ def before_after(
 
     ``value`` is the period column whose density is compared; its footprint is taken against the first bound column.
     """
-    cleaned = clean(df, rules)
+    df = materialised(df, "before")
+    cleaned = materialised(clean(df, rules), "after")
     raw = df.withColumn(value, quoted(value).try_cast("double"))
     anchor = next(iter(rules.bounds))
     frames = compare_frames(df, cleaned)

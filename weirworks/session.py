@@ -52,6 +52,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def materialised(df: DataFrame, label: str) -> DataFrame:
+    """The frame as a Parquet table in the shared folder, for jobs that read it several times.
+
+    Unlike a cache it survives lost executors, needs no release, and every reader fetches only its own columns.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 @contextmanager
 def reused(df: DataFrame) -> Iterator[DataFrame]:
     """Keep a frame that several actions of one eager job read, and release it afterwards."""
