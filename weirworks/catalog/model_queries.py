@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from itertools import combinations
+from statistics import NormalDist
 
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
@@ -141,6 +142,7 @@ def vectors(spark, sf_dir):
 
 
 DIMS = tuple(f"d{i}" for i in range(64))
+_VECTORS = "SELECT vec_id, label, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS {d}" for i, d in enumerate(DIMS))
 
 
 @query("pca")
@@ -238,9 +240,20 @@ def _(spark, sf_dir):
     return rounded(charts.fit_line(charts.residuals(guessed(spark, sf_dir), "l_orderkey", PRICE, "guess")))
 
 
-@query("qq_points")
+_QQ = ", ".join(f"({i / 100}, {NormalDist().inv_cdf(i / 100)!r})" for i in range(1, 100))
+
+
+@query(
+    "qq_points",
+    f"""WITH g(prob, z) AS (VALUES {_QQ}),
+    s AS (SELECT unnest(quantile_cont({PRICE} - guess, [{', '.join(str(i / 100) for i in range(1, 100))}])) AS x,
+            generate_subscripts(range(99), 1) AS i FROM {_GUESS}),
+    p AS (SELECT prob, z, x FROM s JOIN g ON round(prob * 100) = i)
+    SELECT CAST(prob AS DOUBLE) AS prob, {r('z', 'normal_quantile')}, {r('x', 'sample_quantile')},
+      {r('(SELECT regr_slope(x, z) FROM p)', 'slope')}, {r('(SELECT regr_intercept(x, z) FROM p)', 'intercept')} FROM p""",
+)
 def _(spark, sf_dir):
-    return charts.qq_points(charts.residuals(guessed(spark, sf_dir), "l_orderkey", PRICE, "guess"))
+    return rounded(charts.qq_points(charts.residuals(guessed(spark, sf_dir), "l_orderkey", PRICE, "guess")))
 
 
 # ---- training and prediction ------------------------------------------------------------------
@@ -280,31 +293,38 @@ def _(spark, sf_dir):
     return _fit_and_measure(spark, sf_dir, "adaboost")
 
 
-@query("model_ridge")
+@query("model_tree")
 def _(spark, sf_dir):
-    return _fit_and_measure(spark, sf_dir, "ridge")
+    return _fit_and_measure(spark, sf_dir, "decision_tree")
 
 
-@query("model_lasso")
+def _one_feature_terms(spark, sf_dir, name, digits):
+    rows = table(spark, sf_dir, "lineitem", ["l_quantity", PRICE])
+    model = regression.scaled_pipeline(["l_quantity"], regression.make_regressor(name, PRICE)).fit(rows)
+    return rounded(regression.linear_terms(model, ["l_quantity"], rows), digits)
+
+
+def _terms_sql(slope: str, digits: int) -> str:
+    """Intercept and slope of a one-feature fit, given the slope."""
+    return f"""WITH s AS (SELECT avg(l_quantity) AS mx, avg({PRICE}) AS my, stddev_pop(l_quantity) AS sx, count(*) AS n,
+      covar_pop({PRICE}, l_quantity) AS c FROM lineitem), w AS (SELECT *, {slope} AS slope FROM s)
+      SELECT 'intercept' AS term, {r('my - slope * mx', 'value', digits)} FROM w
+      UNION ALL SELECT 'l_quantity', {r('slope', 'value', digits)} FROM w"""
+
+
+@query("model_linear", _terms_sql("c / (sx * sx)", 3))
 def _(spark, sf_dir):
-    return _fit_and_measure(spark, sf_dir, "lasso")
+    return _one_feature_terms(spark, sf_dir, "linear_regression", 3)
 
 
-@query("model_tree")
+@query("model_ridge", _terms_sql("n * c / sx / (n + 1.0) / sx", 3))
 def _(spark, sf_dir):
-    return _fit_and_measure(spark, sf_dir, "decision_tree")
+    return _one_feature_terms(spark, sf_dir, "ridge", 3)
 
 
-@query(
-    "model_linear",
-    f"""SELECT 'intercept' AS term, {r(f'regr_intercept({PRICE}, l_quantity)', 'value', 3)} FROM lineitem UNION ALL
-    SELECT 'l_quantity', {r(f'regr_slope({PRICE}, l_quantity)', 'value', 3)} FROM lineitem""",
-)
+@query("model_lasso", _terms_sql("sign(c) * greatest(abs(c / sx) - 1.0, 0) / sx", 1))
 def _(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem", ["l_quantity", PRICE])
-    regressor = regression.make_regressor("linear_regression", PRICE)
-    model = regression.scaled_pipeline(["l_quantity"], regressor).fit(rows)
-    return rounded(regression.linear_terms(model, ["l_quantity"], rows), 3)
+    return _one_feature_terms(spark, sf_dir, "lasso", 1)
 
 
 def _site_model(spark, sf_dir):
@@ -313,9 +333,18 @@ def _site_model(spark, sf_dir):
     return regression.scaled_pipeline(SITE_FEATURES, regressor).fit(rows)
 
 
-@query("batch_predict")
+@query(
+    "batch_predict",
+    f"""{_SITES}, m AS (SELECT regr_slope(events_2000, events_1995) AS b, regr_intercept(events_2000, events_1995) AS a
+      FROM sites WHERE events_1995 IS NOT NULL AND events_2000 IS NOT NULL)
+    SELECT site_id, {r('a + b * events_1995', 'prediction')} FROM sites, m""",
+)
 def _(spark, sf_dir):
-    return regression.batch_predict(_site_model(spark, sf_dir), sites(spark, sf_dir), "site_id", SITE_FEATURES)
+    rows = materialised(sites(spark, sf_dir).select("site_id", "events_1995", "events_2000"), "model-rows")
+    regressor = regression.make_regressor("linear_regression", "events_2000")
+    complete = drop_missing(rows, ["events_1995", "events_2000"])
+    model = regression.scaled_pipeline(["events_1995"], regressor).fit(complete)
+    return rounded(regression.batch_predict(model, rows, "site_id", ["events_1995"]))
 
 
 @query("model_save_load")
@@ -447,9 +476,6 @@ def _centre(prefix: str = "") -> str:
     return " + ".join(f"({prefix}{d} - c.{d}) ^ 2" for d in DIMS)
 
 
-_VECTORS = "SELECT vec_id, label, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS {d}" for i, d in enumerate(DIMS))
-
-
 @query(
     "cluster_metrics",
     f"""WITH v AS ({_VECTORS} FROM embeddings),
@@ -468,12 +494,27 @@ def _(spark, sf_dir):
     return rounded(clusters.separation(vectors(spark, sf_dir), DIMS, "label"))
 
 
-@query("cluster_silhouette")
+_NORM = " + ".join(f"{d} * {d}" for d in DIMS)
+_DOT = " + ".join(f"v.{d} * c.{d}" for d in DIMS)
+
+
+@query(
+    "cluster_silhouette",
+    f"""WITH v AS (SELECT *, {_NORM} AS norm FROM ({_VECTORS} FROM embeddings) q),
+    c AS (SELECT label, count(*) AS n, sum(norm) AS norms, {', '.join(f'sum({d}) AS {d}' for d in DIMS)} FROM v GROUP BY label),
+    d AS (SELECT v.vec_id, v.label = c.label AS own, c.n,
+            (c.n * v.norm + c.norms - 2 * ({_DOT})) / (CASE WHEN v.label = c.label THEN c.n - 1 ELSE c.n END) AS far
+          FROM v, c WHERE NOT (v.label = c.label AND c.n = 1)),
+    s AS (SELECT vec_id, min(far) FILTER (NOT own) AS b, max(far) FILTER (own) AS a FROM d GROUP BY vec_id),
+    t AS (SELECT count(*) AS n, avg(coalesce((b - a) / greatest(a, b), 0)) AS score FROM s)
+    SELECT n, {r('score', 'silhouette_squared')}, CASE WHEN score > 0.7 THEN 'Excellent' WHEN score > 0.5 THEN 'Good'
+      WHEN score > 0.3 THEN 'Fair' ELSE 'Poor' END AS quality FROM t""",
+)
 def _(spark, sf_dir):
     rows = vectors(spark, sf_dir)
     score = F.lit(clusters.silhouette(rows, DIMS, "label"))
     sized = rows.agg(F.count("*").alias("n"))
-    return sized.select("n", score.alias("silhouette_squared"), clusters.quality_label(score).alias("quality"))
+    return rounded(sized.select("n", score.alias("silhouette_squared"), clusters.quality_label(score).alias("quality")))
 
 
 @query(

@@ -526,10 +526,14 @@ def _(spark, sf_dir):
     return rounded(reports.validation_report(headed(sites_raw(spark, sf_dir)), ["Permit Number"]))
 
 
-@query("load_and_explore")
-def _(spark, sf_dir):
-    _, tables = reports.load_and_explore(spark, written_csv(spark, sf_dir), CSV_SCHEMA, required=["site_id", "balance"])
-    return rounded(reports.exploration_table(tables))
+def _section(section: str, source: str, item: str, metrics) -> str:
+    return union_all(
+        [
+            f"SELECT '{section}' AS section, CAST({item} AS VARCHAR) AS item, '{m}' AS metric, "
+            f"CAST({m} AS DOUBLE) AS value FROM {source}"
+            for m in metrics
+        ]
+    )
 
 
 _LOADED = f"""{_DIRTY}, loaded AS (SELECT site_id, site_name, CASE WHEN company <> 'TBC' THEN company END AS company, region,
@@ -537,6 +541,35 @@ _LOADED = f"""{_DIRTY}, loaded AS (SELECT site_id, site_name, CASE WHEN company
   part_loaded AS (SELECT site_id, company, balance FROM loaded)"""
 
 
+_LOADED_NUMBERS = ("site_id", "balance", *DIRTY_PERIODS)
+_LOADED_TEXTS = ("site_name", "company", "region")
+_EXPLORED = [
+    _section("metadata", "fs", "'all'", ("rows", "columns", "missing_percent", "duplicate_rows")),
+    _section("numeric", "ns", '"column"', (*_METRICS, "missing_percent", "quality_score")),
+    _section(
+        "categorical",
+        "cs",
+        '"column"',
+        ("count", "unique_count", "unique_percent", "top_frequency", "missing_percent", "quality_score"),
+    ),
+    _section("score", "ds", "'all'", ("scored_columns", "mean_score", "quality_score")),
+    "SELECT 'validation', 'all', 'high_missing_percent', missing_percent FROM fs WHERE missing_percent > 0.5",
+    "SELECT 'validation', 'all', 'duplicate_rows', duplicate_rows FROM fs WHERE duplicate_rows > 0",
+]
+
+
+@query(
+    "load_and_explore",
+    f"""{_LOADED}, {_score_ctes('loaded', _LOADED_NUMBERS, _LOADED_TEXTS)}, fs AS ({frame_sql('loaded')}),
+    ns AS (SELECT *, {_NUM_SCORE} AS quality_score FROM np), cs AS (SELECT *, {_CAT_SCORE} AS quality_score FROM cp),
+    ds AS ({_DATASET_SCORE})
+    SELECT section, item, metric, round(value, 3) AS value FROM ({union_all(_EXPLORED)}) q""",
+)
+def _(spark, sf_dir):
+    _, tables = reports.load_and_explore(spark, written_csv(spark, sf_dir), CSV_SCHEMA, required=["site_id", "balance"])
+    return rounded(reports.exploration_table(tables), 3)
+
+
 def _scenario(name: str, source: str, columns) -> str:
     cells = " + ".join(f"({c} IS NULL)::INT" for c in columns)
     return f"""SELECT '{name}' AS scenario, count(*) AS rows, CAST({len(columns)} AS BIGINT) AS columns,
@@ -561,16 +594,6 @@ def _(spark, sf_dir):
     return rounded(reports.load_scenarios(spark, written_csv(spark, sf_dir), CSV_SCHEMA, selected, ["site_id"]))
 
 
-def _section(section: str, source: str, item: str, metrics) -> str:
-    return union_all(
-        [
-            f"SELECT '{section}' AS section, CAST({item} AS VARCHAR) AS item, '{m}' AS metric, "
-            f"CAST({m} AS DOUBLE) AS value FROM {source}"
-            for m in metrics
-        ]
-    )
-
-
 _STATS = ("mean", "median", "total", "site_count", "std", "min", "max")
 _EDA_PARTS = [
     _section("company", "gc", "company", _STATS),

@@ -12,7 +12,7 @@ DIRTY_PERIODS = PERIODS[:4]
 
 # Orders are reduced to one row per customer before the join, so the join never multiplies rows.
 _COUNTS = ",\n         ".join(
-    f"SUM(CASE WHEN year(o_orderdate) = {y} THEN 1.0E0 END) AS events_{y}" for y in YEARS
+    f"SUM(CASE WHEN order_year = {y} THEN 1.0E0 END) AS events_{y}" for y in YEARS
 )
 SITES = f"""
   SELECT c.c_custkey AS site_id, c.c_name AS site_name, c.c_mktsegment AS company, r.r_name AS region,
@@ -21,7 +21,7 @@ SITES = f"""
   JOIN nation n ON c.c_nationkey = n.n_nationkey
   JOIN region r ON n.n_regionkey = r.r_regionkey
   LEFT JOIN (SELECT o_custkey, {_COUNTS}
-             FROM orders GROUP BY o_custkey) y ON y.o_custkey = c.c_custkey"""
+             FROM (SELECT o_custkey, year(o_orderdate) AS order_year FROM orders) o GROUP BY o_custkey) y ON y.o_custkey = c.c_custkey"""
 
 _DIRTY_ROWS = """
   SELECT site_id,
@@ -81,7 +81,7 @@ def _sql(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
     return spark.sql(query.replace("FROM customer c", "FROM {customer} c")
                      .replace("JOIN nation n", "JOIN {nation} n")
                      .replace("JOIN region r", "JOIN {region} r")
-                     .replace("FROM orders GROUP", "FROM {orders} GROUP"), **sources)
+                     .replace("FROM orders)", "FROM {orders})"), **sources)
 
 
 def site_table(name: str) -> Callable[[SparkSession, str], DataFrame]:

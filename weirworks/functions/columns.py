@@ -77,8 +77,7 @@ def strip(value: Column) -> Column:
 
 def to_number(value: Column) -> Column:
     """Text to double; what does not parse becomes missing, and so does NaN."""
-    number = F.try_cast(value, "double") if hasattr(F, "try_cast") else value.try_cast("double")
-    return F.when(~F.isnan(number), number)
+    return F.nullif(value.try_cast("double"), F.lit(float("nan")))
 
 
 def to_flag(value: Column) -> Column:

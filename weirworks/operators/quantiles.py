@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weirworks.functions.columns import quoted
+from weirworks.session import materialised
 
 LOG_STEPS = 64  # buckets per doubling of the value
 LINEAR_STEPS = 4096  # parts of a bucket that is split again
@@ -103,16 +104,20 @@ def exact_quantiles(
     if small:
         buckets, ranks = _local(picked, rows, bucket_names), _local(picked, rows, rank_names)
         split = any(row["n"] > large_bucket for row in rows)
+        counted = values.withColumn("n", F.lit(1).cast("bigint"))
     else:
+        picked = materialised(picked, "ranks")  # a few rows per group, read twice below
         buckets, ranks = picked.select(*map(quoted, bucket_names)).distinct(), picked.select(*map(quoted, rank_names))
-        split = True
+        split = bool(picked.filter(F.col("n") > large_bucket).take(1))
+        # Equal values meet before the join shuffles them, so a hot value is one row per group.
+        counted = values.groupBy(*map(quoted, group), "bucket", "value").agg(F.count("*").alias("n"))
 
-    inside = values.join(buckets, [*group, "bucket"])
+    inside = counted.join(buckets, [*group, "bucket"])
     cell = [*group, "bucket"]
     if split:
         # Split the picked buckets and keep only the parts that hold a wanted rank.
         inside = inside.withColumn("step", _linear_bucket(F.col("value"), F.col("low"), F.col("high")))
-        parts = inside.groupBy(*map(quoted, cell), "step").agg(F.count("*").alias("n"), F.first("before").alias("start"))
+        parts = inside.groupBy(*map(quoted, cell), "step").agg(F.sum("n").alias("n"), F.first("before").alias("start"))
         before = F.col("start") + _running(cell, ["step"]) - F.col("n")
         ranks = (
             parts.select("*", before.alias("before"))
@@ -128,9 +133,9 @@ def exact_quantiles(
         ranks = ranks.drop("step_before")
 
     # Order only the distinct values that share a cell with a wanted rank.
-    counted = inside.groupBy(*map(quoted, cell), "value").agg(F.count("*").alias("n"), F.first("before").alias("start"))
+    last = inside.groupBy(*map(quoted, cell), "value").agg(F.sum("n").alias("n"), F.first("before").alias("start"))
     before = F.col("start") + _running(cell, ["value"]) - F.col("n")
-    ends = counted.select("*", before.alias("before")).join(ranks, cell).filter(_holds_rank())
+    ends = last.select("*", before.alias("before")).join(ranks, cell).filter(_holds_rank())
     low = F.max(F.when(F.col("side") == "lo", F.col("value")))
     high = F.max(F.when(F.col("side") == "hi", F.col("value")))
     value = F.when(low == high, low).otherwise(low + (high - low) * F.max("part"))

@@ -30,7 +30,7 @@ Bounds = Mapping[str, tuple[float, float]]
 def blank_nan(df: DataFrame) -> DataFrame:
     """NaN becomes missing, so that no aggregate or comparison ever meets it."""
     floating = [f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
-    return df.withColumns({name: F.when(~F.isnan(quoted(name)), quoted(name)) for name in floating})
+    return df.withColumns({name: F.nullif(quoted(name), F.lit(float("nan")).cast(df.schema[name].dataType)) for name in floating})
 
 
 def coerce_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
