@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 from operator import add
 
 from pyspark.ml import Pipeline
@@ -43,16 +44,20 @@ def find_k(
     starts: int = 10,
     max_iter: int = 300,
     seed: int = 42,
+    parallelism: int = 4,
 ) -> tuple[int, list[tuple[int, float]]]:
     """(chosen k, [(k, inertia)]): the best of ``starts`` runs per k, then the knee of the curve."""
-    curve = []
     with reused(assembled(standard_scale(df, features), features).select("features")) as data:
-        for k in range(k_min, k_max + 1):
-            costs = [
-                KMeans(k=k, seed=seed + start, maxIter=max_iter).fit(data).summary.trainingCost
-                for start in range(starts)
-            ]
-            curve.append((k, float(min(costs))))
+        data.count()
+
+        def cost(task: tuple[int, int]) -> float:
+            k, start = task
+            return float(KMeans(k=k, seed=seed + start, maxIter=max_iter).fit(data).summary.trainingCost)
+
+        tasks = [(k, start) for k in range(k_min, k_max + 1) for start in range(starts)]
+        with ThreadPool(parallelism) as pool:
+            costs = dict(zip(tasks, pool.map(cost, tasks)))
+    curve = [(k, min(costs[k, start] for start in range(starts))) for k in range(k_min, k_max + 1)]
     chosen = knee(curve)
     return (chosen if chosen is not None else (k_min + k_max) // 2), curve
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from weirworks.functions.columns import all_present, quoted
 from weirworks.operators.ensembles import AdaBoostR2
 from weirworks.operators.rules import require_input
+from weirworks.session import fit_input
 
 # The regressors of a comparison, in their usual order.
 MODEL_NAMES = (
@@ -212,7 +213,8 @@ def train_regressor(
     """Fit on the training part and measure on the rest; (model, metrics)."""
     complete = require_input(df, [*features, target], min_rows, drop_incomplete=False)
     marked = mark_split(complete.select(quoted(key), *map(quoted, [*features, target])), key, train_share, seed)
-    fitted = scaled_pipeline(features, make_regressor(model, target, trees, seed)).fit(marked.filter("is_train"))
+    with fit_input(marked.filter("is_train"), key) as training:
+        fitted = scaled_pipeline(features, make_regressor(model, target, trees, seed)).fit(training)
     held_out = fitted.transform(marked.filter(~F.col("is_train")))
     return fitted, regression_metrics(held_out, target, "prediction")
 

@@ -70,3 +70,19 @@ def reused(df: DataFrame) -> Iterator[DataFrame]:
         yield kept
     finally:
         kept.unpersist()
+
+
+@contextmanager
+def fit_input(df: DataFrame, key: str, rows_per_task: int = 20_000) -> Iterator[DataFrame]:
+    """A kept frame for iterative fits, spread over the cores when it arrives in too few partitions for its rows.
+
+    Large inputs have more partitions than cores already and are left as they are.
+    """
+    with reused(df) as kept:
+        rows = kept.count()
+        wanted = min(df.sparkSession.sparkContext.defaultParallelism, rows // rows_per_task)
+        if kept.rdd.getNumPartitions() >= wanted:
+            yield kept
+        else:
+            with reused(kept.repartition(wanted, key)) as spread:
+                yield spread
