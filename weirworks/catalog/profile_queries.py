@@ -43,11 +43,11 @@ def measured(spark, sf_dir):
 # ---- missing values, duplicates, shape ----------------------------------------------------------
 
 
-def missing_sql(source: str, columns=COLUMNS, extra: str = "") -> str:
+def missing_sql(source: str, columns=COLUMNS, extra: str = "", digits: int = 4) -> str:
     return union_all(
         [
             f"SELECT {extra}'{c}' AS \"column\", count(*) AS rows, count(*) - count({c}) AS missing, "
-            f"{r(f'(count(*) - count({c})) * 100.0 / count(*)', 'missing_percent')} FROM {source}"
+            f"{r(f'(count(*) - count({c})) * 100.0 / count(*)', 'missing_percent', digits)} FROM {source}"
             for c in columns
         ]
     )
@@ -100,10 +100,10 @@ def _(spark, sf_dir):
     return profile.shape_metadata(table(spark, sf_dir, "lineitem"))
 
 
-def frame_sql(source: str, label: str = "") -> str:
+def frame_sql(source: str, label: str = "", digits: int = 4) -> str:
     cells = " + ".join(f"({c} IS NULL)::INT" for c in COLUMNS)
     return f"""SELECT {label}count(*) AS rows, CAST({len(COLUMNS)} AS BIGINT) AS columns,
-      {r(f"sum({cells}) * 100.0 / (count(*) * {len(COLUMNS)})", "missing_percent")},
+      {r(f"sum({cells}) * 100.0 / (count(*) * {len(COLUMNS)})", "missing_percent", digits)},
       CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {source}) q) AS BIGINT) AS duplicate_rows
       FROM {source}"""
 
@@ -116,16 +116,18 @@ def _(spark, sf_dir):
 # ---- column profiles and scores -----------------------------------------------------------------
 
 
-def numeric_sql(source: str, columns, quantiles=(("q25", 0.25), ("median", 0.5), ("q75", 0.75)), outliers="0") -> str:
+def numeric_sql(
+    source: str, columns, quantiles=(("q25", 0.25), ("median", 0.5), ("q75", 0.75)), outliers="0", digits: int = 4
+) -> str:
     """One SELECT per column; ``outliers`` is an expression over the CTE ``m_<column>``, or 0."""
     return union_all(
         [
-            f"""SELECT '{c}' AS "column", count({c}) AS count, {r(f'avg({c})', 'mean')}, {r(f'stddev_samp({c})', 'std')},
-            {r(f'min({c})', 'min')}, {r(f'max({c})', 'max')}, count(*) - count({c}) AS missing_count,
-            {r(f'(count(*) - count({c})) * 100.0 / count(*)', 'missing_percent')},
+            f"""SELECT '{c}' AS "column", count({c}) AS count, {r(f'avg({c})', 'mean', digits)}, {r(f'stddev_samp({c})', 'std', digits)},
+            {r(f'min({c})', 'min', digits)}, {r(f'max({c})', 'max', digits)}, count(*) - count({c}) AS missing_count,
+            {r(f'(count(*) - count({c})) * 100.0 / count(*)', 'missing_percent', digits)},
             CAST({outliers.format(c=c)} AS BIGINT) AS outlier_count,
-            {r(f'{outliers.format(c=c)} * 100.0 / count({c})', 'outlier_percent')}
-            {''.join(', ' + r(f'quantile_cont({c}, {p})', n) for n, p in quantiles)} FROM {source}"""
+            {r(f'{outliers.format(c=c)} * 100.0 / count({c})', 'outlier_percent', digits)}
+            {''.join(', ' + r(f'quantile_cont({c}, {p})', n, digits) for n, p in quantiles)} FROM {source}"""
             for c in columns
         ]
     )
@@ -147,16 +149,16 @@ def _(spark, sf_dir):
     return rounded(profile.numeric_profile(table(spark, sf_dir, "events", ["value"]), outlier_z=3.0))
 
 
-def categorical_sql(source: str, columns) -> str:
+def categorical_sql(source: str, columns, digits: int = 4) -> str:
     parts = []
     for c in columns:
         top = f"(SELECT {c} FROM {source} WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1)"
         often = f"(SELECT count(*) FROM {source} WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC LIMIT 1)"
         parts.append(
             f"""SELECT '{c}' AS "column", count({c}) AS count, count(DISTINCT {c}) AS unique_count,
-            {r(f'count(DISTINCT {c}) * 100.0 / count({c})', 'unique_percent')}, {top} AS top_value,
+            {r(f'count(DISTINCT {c}) * 100.0 / count({c})', 'unique_percent', digits)}, {top} AS top_value,
             {often} AS top_frequency, count(*) - count({c}) AS missing_count,
-            {r(f'(count(*) - count({c})) * 100.0 / count(*)', 'missing_percent')} FROM {source}"""
+            {r(f'(count(*) - count({c})) * 100.0 / count(*)', 'missing_percent', digits)} FROM {source}"""
         )
     return union_all(parts)
 
@@ -204,7 +206,7 @@ def _(spark, sf_dir):
 
 
 def _score_ctes(source: str, numbers=NUMBERS, texts=TEXTS) -> str:
-    return f"""np AS ({numeric_sql(source, numbers)}), cp AS ({categorical_sql(source, texts)}),
+    return f"""np AS ({numeric_sql(source, numbers, digits=12)}), cp AS ({categorical_sql(source, texts, 12)}),
     scores AS (SELECT count, missing_count, {_NUM_SCORE} AS s FROM np
                UNION ALL SELECT count, missing_count, {_CAT_SCORE} FROM cp)"""
 
@@ -560,7 +562,7 @@ _EXPLORED = [
 
 @query(
     "load_and_explore",
-    f"""{_LOADED}, {_score_ctes('loaded', _LOADED_NUMBERS, _LOADED_TEXTS)}, fs AS ({frame_sql('loaded')}),
+    f"""{_LOADED}, {_score_ctes('loaded', _LOADED_NUMBERS, _LOADED_TEXTS)}, fs AS ({frame_sql('loaded', digits=12)}),
     ns AS (SELECT *, {_NUM_SCORE} AS quality_score FROM np), cs AS (SELECT *, {_CAT_SCORE} AS quality_score FROM cp),
     ds AS ({_DATASET_SCORE})
     SELECT section, item, metric, round(value, 3) AS value FROM ({union_all(_EXPLORED)}) q""",
