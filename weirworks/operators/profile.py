@@ -190,22 +190,30 @@ def score_categorical(profile: DataFrame) -> DataFrame:
     return profile.withColumn("quality_score", score)
 
 
+def joined_scores(parts: Sequence[DataFrame]) -> DataFrame:
+    """(column, count, missing_count, quality_score) of scored profiles; columns without values have no score."""
+    score = F.when(F.col("count") > 0, F.col("quality_score")).alias("quality_score")
+    chosen = [part.select("column", "count", "missing_count", score) for part in parts]
+    return chosen[0] if len(chosen) == 1 else chosen[0].unionByName(chosen[1])
+
+
 def column_scores(df: DataFrame, outlier_z: float | None = None) -> DataFrame:
-    """(column, count, missing_count, quality_score) for every column; columns without values have no score."""
-    names = ("column", "count", "missing_count", "quality_score")
+    """``joined_scores`` over all columns of a table."""
     numeric, other = numeric_names(df), other_names(df)
     parts = []
     if numeric:
-        parts.append(score_numeric(numeric_profile(df, numeric, probs={}, outlier_z=outlier_z)).select(*names))
+        parts.append(score_numeric(numeric_profile(df, numeric, probs={}, outlier_z=outlier_z)))
     if other:
-        parts.append(score_categorical(categorical_profile(df, other)).select(*names))
-    both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return both.withColumn("quality_score", F.when(F.col("count") > 0, F.col("quality_score")))
+        parts.append(score_categorical(categorical_profile(df, other)))
+    return joined_scores(parts)
 
 
 def score_dataset(df: DataFrame, outlier_z: float | None = None) -> DataFrame:
     """(scored_columns, mean_score, missing_percent, quality_score) in one row."""
-    scores = column_scores(df, outlier_z)
+    return score_from_columns(column_scores(df, outlier_z))
+
+
+def score_from_columns(scores: DataFrame) -> DataFrame:
     cells = F.sum(F.col("count") + F.col("missing_count"))
     return scores.agg(
         F.count("quality_score").alias("scored_columns"),

@@ -18,7 +18,7 @@ from weirworks.functions.columns import (
     quoted,
 )
 from weirworks.operators.compare import stack_labelled
-from weirworks.operators.profile import column_scores, row_groups, score_dataset
+from weirworks.operators.profile import column_scores, row_groups, score_from_columns
 from weirworks.operators.rules import (
     coerce_numeric,
     drop_duplicates,
@@ -222,11 +222,13 @@ def cleaning_job(df: DataFrame, rules: CleaningRules, base: str, backup: bool =
     paths["cleaned"] = write_table(clean(df, rules), f"{base}/cleaned")
     cleaned = df.sparkSession.read.parquet(paths["cleaned"])
     counts, removed = _audit(df, rules)
+    counts = materialised(counts, "audit")  # one row
+    scores = materialised(column_scores(cleaned), "scores")  # one row per column
     tables = {
         "removals": _breakdown(counts, removed),
         "metrics": _figures(counts),
-        "column_scores": column_scores(cleaned),
-        "score": score_dataset(cleaned),
+        "column_scores": scores,
+        "score": score_from_columns(scores),
     }
     return {**paths, **write_report(tables, f"{base}/report")}
 

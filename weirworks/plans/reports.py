@@ -9,7 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weirworks.functions.columns import first_last_delta, long_rows, percent, quoted, row_mean
+from weirworks.functions.columns import (
+    first_last_delta,
+    long_rows,
+    numeric_names,
+    other_names,
+    percent,
+    quoted,
+    row_mean,
+)
 from weirworks.operators import charts
 from weirworks.operators.compare import compare_counts, compare_frames, compare_missing
 from weirworks.operators.groups import group_stats, summary_metrics, top_groups, trend_counts, trend_shares
@@ -17,9 +25,10 @@ from weirworks.operators.profile import (
     categorical_profile,
     duplicate_count,
     frame_summary,
+    joined_scores,
     numeric_profile,
     score_categorical,
-    score_dataset,
+    score_from_columns,
     score_numeric,
 )
 from weirworks.operators.schema import header_table, narrow_types, require_columns, suggest_names
@@ -86,20 +95,28 @@ def validation_report(
 
 
 def require_valid(df: DataFrame, required: Sequence[str] = (), min_rows: int = 1) -> None:
-    found = validation_report(df, required, min_rows).filter(F.col("severity") == "error").collect()
+    raise_errors(validation_report(df, required, min_rows))
+
+
+def raise_errors(validation: DataFrame) -> None:
+    found = validation.filter(F.col("severity") == "error").collect()
     if found:
         raise ValueError("validation failed: " + ", ".join(f"{r['check']} ({r['item']})" for r in found))
 
 
 def explore(df: DataFrame, required: Sequence[str] = ()) -> dict[str, DataFrame]:
-    """Validation, metadata, column profiles with scores and the table score."""
-    return {
-        "validation": validation_report(df, required),
-        "metadata": frame_summary(df),
-        "numeric": score_numeric(numeric_profile(df)),
-        "categorical": score_categorical(categorical_profile(df)),
-        "score": score_dataset(df),
-    }
+    """Validation, metadata, column profiles with scores and the table score.
+
+    Each table has a row per column at most; all are stored, because the score and the reader need them again.
+    """
+    tables = {"validation": validation_report(df, required), "metadata": frame_summary(df)}
+    if numeric_names(df):
+        tables["numeric"] = score_numeric(numeric_profile(df))
+    if other_names(df):
+        tables["categorical"] = score_categorical(categorical_profile(df))
+    tables = {name: materialised(table, name) for name, table in tables.items()}
+    profiles = [tables[kind] for kind in ("numeric", "categorical") if kind in tables]
+    return {**tables, "score": score_from_columns(joined_scores(profiles))}
 
 
 def load_and_explore(
@@ -112,19 +129,23 @@ def load_and_explore(
 ) -> tuple[DataFrame, dict[str, DataFrame]]:
     """Read, check and profile one CSV table; a failed check raises."""
     df = materialised(scan_csv(spark, path, schema, columns, required), "loaded")  # text is parsed once
-    require_valid(df, required)
     tables = explore(df, required)
+    raise_errors(tables["validation"])
     return (narrow_types(df) if narrow else df), tables
 
 
 def exploration_table(tables: Mapping[str, DataFrame]) -> DataFrame:
     numeric = ("count", "mean", "std", "min", "q25", "median", "q75", "max", "missing_percent", "quality_score")
     other = ("count", "unique_count", "unique_percent", "top_frequency", "missing_percent", "quality_score")
+    profiles = [
+        tidy(tables[kind], kind, "column", metrics)
+        for kind, metrics in (("numeric", numeric), ("categorical", other))
+        if kind in tables
+    ]
     return stacked(
         [
             tidy(tables["metadata"], "metadata", None, ("rows", "columns", "missing_percent", "duplicate_rows")),
-            tidy(tables["numeric"], "numeric", "column", numeric),
-            tidy(tables["categorical"], "categorical", "column", other),
+            *profiles,
             tidy(tables["score"], "score", None, ("scored_columns", "mean_score", "quality_score")),
             tables["validation"].select(
                 F.lit("validation").alias("section"), "item", F.col("check").alias("metric"), "value"
@@ -165,8 +186,8 @@ def analyse(df: DataFrame, company: str, region: str, periods: Sequence[str], to
         raise ValueError("cannot analyse an empty table")
     kept = [quoted(k) for k in dict.fromkeys((company, region)) if k in df.columns]
     measured = materialised(with_measures(df, periods).select(*kept, "row_mean", "trend_delta"), "measured")
-    companies = group_stats(measured, company, "row_mean")
-    regions = group_stats(measured, region, "row_mean")
+    companies = materialised(group_stats(measured, company, "row_mean"), "companies")
+    regions = materialised(group_stats(measured, region, "row_mean"), "regions")
     keys = [k for k in (company, region) if k in df.columns]
     return {
         "companies": companies,
