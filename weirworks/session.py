@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -27,20 +28,28 @@ def build_session(app_name: str = "weirworks", master: str | None = None, **conf
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a local one only where none is configured (tests)."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    """The cluster's shared checkpoint folder.
+
+    Where none is configured, a single-machine session gets a folder of its own; on a cluster that would scatter the
+    parts over the executors' disks, so it is refused there.
+    """
     context = spark.sparkContext
-    if configured:
-        base = configured
-    elif context.getCheckpointDir():
-        base = context.getCheckpointDir()
-    else:
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="weirworks-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(base)
     return base
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table that no frame reads any more, on whatever file system it lies."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder for a table that one job writes and reads back."""
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
