@@ -7,8 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weirworks.llm import bpe
+from weirworks.llm import bpe, linededup, warc
 from weirworks.llm.common import table
+from weirworks.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -32,6 +33,18 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
 
 
+@query("op7_warc_archive", warc.SQL)
+def op7_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write_archive(table(spark, sf_dir, "pages"), path)
+    return warc.parsed(warc.read_archive(spark, path))
+
+
+@query("op9_line_dedup", linededup.SQL)
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_digest(table(spark, sf_dir, "documents"))
+
+
 def load() -> tuple[dict[str, Query], dict[str, str]]:
     """(queries, SQL) of this subpackage."""
     return dict(QUERIES), dict(ORACLES)
