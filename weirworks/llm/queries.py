@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from weirworks.llm import bpe, linededup, warc
+from weirworks.llm import bpe, covertree, linededup, warc
 from weirworks.llm.common import table
 from weirworks.session import scratch_path
 
@@ -45,6 +46,12 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_digest(table(spark, sf_dir, "documents"))
 
 
+@query("op10_cover_tree_top_k", covertree.SQL)
+def op10_cover_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return covertree.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
 def load() -> tuple[dict[str, Query], dict[str, str]]:
     """(queries, SQL) of this subpackage."""
     return dict(QUERIES), dict(ORACLES)
