@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirworks.llm import bpe, covertree, linededup, warc
+from weirworks.llm import bpe, covertree, linededup, probminhash, warc
 from weirworks.llm.common import table
 from weirworks.session import scratch_path
 
@@ -34,6 +34,11 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
 
 
+@query("op5_prob_minhash")
+def op5_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return probminhash.near_classes(table(spark, sf_dir, "documents"))
+
+
 @query("op7_warc_archive", warc.SQL)
 def op7_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
