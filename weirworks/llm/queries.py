@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirworks.llm import bpe, covertree, decontaminate, linededup, probminhash, warc
+from weirworks.llm import bpe, covertree, decontaminate, linededup, probminhash, toxicity, warc
 from weirworks.llm.common import table
 from weirworks.session import scratch_path
 
@@ -51,6 +51,11 @@ def op7_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.parsed(warc.read_archive(spark, path))
 
 
+@query("op8_toxicity")
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op9_line_dedup", linededup.SQL)
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_digest(table(spark, sf_dir, "documents"))
