@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirworks.llm import bpe, covertree, decontaminate, linededup, probminhash, toxicity, warc
+from weirworks.llm import bpe, covertree, decontaminate, linededup, probminhash, rollups, shards, toxicity, warc
 from weirworks.llm.common import table
 from weirworks.session import scratch_path
 
@@ -34,6 +34,28 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op2_token_shards")
+def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "shards")
+    sequences = shards.write_shards(table(spark, sf_dir, "documents"), path, BYTE_RANKS, public_tokenizers.PATTERN)
+    return shards.with_numbers(shards.read_shards(spark, path, sequences), sequences)
+
+
+@query("op3_token_counts")
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Estimates first; then one batch that revises them, adds a second tokenizer and deletes the estimates' own version."""
+    docs = table(spark, sf_dir, "documents")
+    estimate = docs.select("doc_id", F.explode(F.array(F.lit("byte_bpe_50k"), F.lit("characters_by_4"))).alias("version"), "source", "lang",
+                           F.ceil(F.coalesce("n_chars", F.lit(0)) / 4).cast("long").alias("n_tokens"))
+    gone = docs.select("doc_id", F.lit("characters_by_4").alias("version"), "source", "lang", F.lit(None).cast("long").alias("n_tokens"))
+    versions = {"byte_bpe_50k": BYTE_RANKS, "byte_bpe_multi_50k": public_tokenizers.path("byte_bpe_multi_50k.tiktoken")}
+    counted = rollups.token_counts(docs, versions, public_tokenizers.PATTERN)
+    totals = rollups.TokenRollup(spark, scratch_path(spark, "rollup"))
+    totals.apply(1, estimate)
+    totals.apply(2, counted.unionByName(gone))
+    return totals.totals()
+
+
 @query("op4_byte_bpe")
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
