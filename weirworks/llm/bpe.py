@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
-from weirworks.llm.common import pick, ship
+from weirworks.llm.common import pick, quoted, ship
 
 #: Pieces up to this many bytes are merged directly; longer ones are split in halves.
 LEAF_BYTES = 16
@@ -218,6 +219,36 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, text string")
 
 
+def with_ids(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "token_ids", count_col: str = "n_tokens") -> DataFrame:
+    """All columns of ``docs`` with the text as decoded from its ids, and the ids and their number; a null text stays null.
+
+    A text whose decoded bytes differ from it ends the job. New columns replace those of the same name.
+    """
+    ship(docs.sparkSession)
+    kept = [c for c in docs.columns if c not in (ids_col, count_col)]
+    added = T.StructType([T.StructField(ids_col, T.ArrayType(T.IntegerType())), T.StructField(count_col, T.LongType())])
+    schema = T.StructType([*[docs.schema[c] for c in kept], *added.fields])
+    place = kept.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        code = encoder(ranks_path, pattern)
+        for batch in batches:
+            texts, ids, counts = [], [], []
+            for text in batch.column(place).to_pylist():
+                own = code(text or "")
+                back = code.decode(own).decode("utf-8")
+                if back != (text or ""):
+                    raise ValueError("a text does not decode to itself")
+                texts.append(None if text is None else back)
+                ids.append(np.frombuffer(own, dtype="<i4"))
+                counts.append(len(own) // 4)
+            columns = [*batch.columns[:place], pa.array(texts, pa.string()), *batch.columns[place + 1 :]]
+            columns += [pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return docs.select(*[docs[quoted(c)] for c in kept]).mapInArrow(run, schema)
+
+
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): digests of the ids of every text and of the bytes they decode to.
 

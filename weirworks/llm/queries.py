@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirworks.llm import bpe, covertree, decontaminate, linededup, probminhash, rollups, shards, toxicity, warc
+import corpus_pipeline
+from weirworks.llm import bpe, covertree, decontaminate, langid, linededup, probminhash, rollups, shards, toxicity, warc
 from weirworks.llm.common import table
 from weirworks.session import scratch_path
 
@@ -66,6 +67,12 @@ def op5_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probminhash.near_classes(table(spark, sf_dir, "documents"))
 
 
+@query("op6_language_id")
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.learn(docs))
+
+
 @query("op7_warc_archive", warc.SQL)
 def op7_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
@@ -89,6 +96,11 @@ def op10_cover_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
 
 
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
+
+
 def load() -> tuple[dict[str, Query], dict[str, str]]:
     """(queries, SQL) of this subpackage."""
     return dict(QUERIES), dict(ORACLES)
