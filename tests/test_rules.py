@@ -120,7 +120,7 @@ def test_input_gate(spark):
 
 def test_stand_in_features(spark):
     df = spark.createDataFrame([(9, 1.0, 2.0, "x", 3.0, 4.0)], "id int, a double, b double, t string, c double, d double")
-    assert rules.project_features(df, ["zz"], "yy", ["id"]).columns == ["id", "b", "c", "d", "a"]
+    assert rules.project_features(df, ["zz"], "yy", ["id"], 3).columns == ["id", "b", "c", "d", "a"]
     assert rules.project_features(df, ["a"], "b", ["id"]).columns == ["id", "a", "b"]
 
 
@@ -161,3 +161,10 @@ def test_rows_in_memory(spark):
     shape = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.StringType())])
     df = from_rows(spark, [{"a": i, "b": "x"} for i in range(5)] + [{"a": 9}], shape)
     assert df.count() == 6 and df.filter("b is null").count() == 1 and df.rdd.getNumPartitions() == 1
+
+
+def test_absent_features_are_an_error_unless_stand_ins_are_allowed(spark):
+    df = spark.createDataFrame([(1, 2.0, 3.0)], "id int, a double, b double")
+    with pytest.raises(ValueError, match="zz"):
+        rules.project_features(df, ["zz"], "a", ["id"])
+    assert rules.project_features(df, ["zz"], "a", ["id"], stand_ins=1).columns == ["id", "b", "a"]

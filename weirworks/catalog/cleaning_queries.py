@@ -548,7 +548,7 @@ def _(spark, sf_dir):
 @query("project_features", f"{_SITES} SELECT site_id, events_1995, events_1996, events_1997, balance FROM sites")
 def _(spark, sf_dir):
     # "latitude" is absent, so the stand-in rule applies: first number column as target, the next three as features.
-    return rules.project_features(sites(spark, sf_dir), ["latitude"], "events_2000", keys=["site_id"])
+    return rules.project_features(sites(spark, sf_dir), ["latitude"], "events_2000", keys=["site_id"], stand_ins=3)
 
 
 _COMPLETE = "events_1995 IS NOT NULL AND events_1996 IS NOT NULL"

@@ -9,7 +9,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from weirworks.catalog.cleaning_queries import _FLAGGED, _SITES
-from weirworks.catalog.registry import query, r, rounded, union_all
+from weirworks.catalog.registry import bucket_sql, query, r, rounded, union_all
 from weirworks.catalog.tables import PERIODS, sites, sites_flagged, table
 from weirworks.functions.columns import quoted, row_mean
 from weirworks.operators import charts, clusters, features, groups, regression, tuning
@@ -259,10 +259,12 @@ def _(spark, sf_dir):
 # ---- training and prediction ------------------------------------------------------------------
 
 
-@query("train_test_split")
+@query(
+    "train_test_split",
+    f"{_SITES} SELECT site_id, balance, events_1995, {bucket_sql('site_id', 10_000)} < 8000 AS is_train FROM sites",
+)
 def _(spark, sf_dir):
-    marked = regression.mark_split(lines(spark, sf_dir), "line_key")
-    return marked.groupBy("is_train").agg(F.count("*").alias("n"))
+    return regression.mark_split(sites(spark, sf_dir).select("site_id", "balance", "events_1995"), "site_id")
 
 
 def _fit_and_measure(spark, sf_dir, name):
@@ -347,7 +349,7 @@ def _(spark, sf_dir):
     return rounded(regression.batch_predict(model, rows, "site_id", ["events_1995"]))
 
 
-@query("model_save_load")
+@query("model_save_load", f"{_SITES} SELECT site_id, true AS same FROM sites")
 def _(spark, sf_dir):
     model = _site_model(spark, sf_dir)
     stored = sinks.load_model(spark, sinks.save_model(model, scratch_path(spark, "model")))
@@ -357,7 +359,7 @@ def _(spark, sf_dir):
     both = before.withColumnRenamed("prediction", "before").join(
         after.withColumnRenamed("prediction", "after"), "site_id"
     )
-    return both.select("site_id", "after", F.col("before").eqNullSafe(F.col("after")).alias("same"))
+    return both.select("site_id", F.col("before").eqNullSafe(F.col("after")).alias("same"))
 
 
 @query("voting_ensemble")
@@ -390,6 +392,25 @@ def _(spark, sf_dir):
     return tuning.cross_validate(site_rows(spark, sf_dir), "site_id", SITE_FEATURES, SITE_TARGET, estimator)
 
 
+# One feature and a straight line: every fold has a closed form.
+_FOLDED = f"""{_SITES}, d AS (SELECT coalesce(events_1995, 0) AS x, coalesce(balance, 0) AS y, {bucket_sql('site_id', 5)} AS fold FROM sites),
+  m AS (SELECT f.fold, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM range(5) f(fold) JOIN d ON d.fold <> f.fold GROUP BY f.fold),
+  s AS (SELECT d.fold, avg((y - a - b * x) ^ 2) AS mse, avg(abs(y - a - b * x)) AS mae, var_pop(y) AS v FROM d JOIN m USING (fold) GROUP BY d.fold),
+  l AS (SELECT 'r2' AS metric, fold, 1 - mse / v AS score FROM s UNION ALL SELECT 'neg_mean_squared_error', fold, -mse FROM s
+        UNION ALL SELECT 'neg_mean_absolute_error', fold, -mae FROM s)"""
+
+
+@query(
+    "cross_validate_line",
+    f"""{_FOLDED} SELECT metric, CAST(fold AS INTEGER) AS fold, {r('score', 'score')}, {r('avg(score) OVER w', 'mean')},
+    {r('stddev_pop(score) OVER w', 'std')} FROM l WINDOW w AS (PARTITION BY metric)""",
+)
+def _(spark, sf_dir):
+    rows = fill_constant(sites(spark, sf_dir).select("site_id", "events_1995", "balance"), 0)
+    estimator = LinearRegression(labelCol="balance", featuresCol="features", solver="normal")
+    return rounded(tuning.cross_validate(rows, "site_id", ["events_1995"], "balance", estimator))
+
+
 @query("grid_search")
 def _(spark, sf_dir):
     rows = site_rows(spark, sf_dir)

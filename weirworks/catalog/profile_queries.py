@@ -13,7 +13,7 @@ from weirworks.catalog.cleaning_queries import (
     ROW_MEAN,
     written_csv,
 )
-from weirworks.catalog.registry import query, r, rounded, union_all
+from weirworks.catalog.registry import bucket_sql, query, r, rounded, union_all
 from weirworks.catalog.tables import (
     DIRTY_PERIODS,
     PERIODS,
@@ -412,8 +412,15 @@ def counts_sql(source: str, column: str, k: int = 10) -> str:
     )
 
 
-COMPARE_SQL = f"""SELECT value, coalesce(a.n, 0) AS raw, coalesce(b.n, 0) AS cleaned
-  FROM ({counts_sql('sites_raw', 'company')}) a FULL OUTER JOIN ({counts_sql('cleaned', 'company')}) b USING (value)"""
+def compare_sql(before: str, after: str, column: str, k: int = 10) -> str:
+    """The values in the top k of either side, counted in both."""
+    return f"""SELECT value, count(*) FILTER (WHERE side = 'raw') AS raw, count(*) FILTER (WHERE side = 'cleaned') AS cleaned
+  FROM (SELECT {column} AS value, 'raw' AS side FROM {before} UNION ALL SELECT {column}, 'cleaned' FROM {after}) s
+  WHERE value IN (SELECT value FROM ({counts_sql(before, column, k)}) a UNION SELECT value FROM ({counts_sql(after, column, k)}) b)
+  GROUP BY value"""
+
+
+COMPARE_SQL = compare_sql("sites_raw", "cleaned", "company")
 
 
 @query("compare_counts", f"{_CLEAN} {COMPARE_SQL}")
@@ -505,7 +512,17 @@ def _(spark, sf_dir):
     return charts.geo_footprint(raw, cleaning.clean(raw, BASE), "balance", "events_1995", 2.0)
 
 
-@query("geo_sample")
+@query("compare_counts_part", compare_sql("part", "(SELECT * FROM part WHERE p_size > 25) q", "p_type", 3))
+def _(spark, sf_dir):
+    parts = table(spark, sf_dir, "part", ["p_type", "p_size"])
+    return compare.compare_counts(parts, parts.filter("p_size > 25"), "p_type", 3)
+
+
+@query(
+    "geo_sample",
+    f"""{_SITES} SELECT site_id, balance, events_1995 FROM sites
+    WHERE balance IS NOT NULL AND events_1995 IS NOT NULL AND {bucket_sql('site_id', 1_000_000)} < 500000""",
+)
 def _(spark, sf_dir):
     return charts.geo_sample(sites(spark, sf_dir), "site_id", "balance", "events_1995", 0.5)
 

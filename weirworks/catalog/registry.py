@@ -38,6 +38,11 @@ def r(expression: str, name: str, digits: int = 4) -> str:
     return f'round(CAST({expression} AS DOUBLE), {digits}) AS "{name}"'
 
 
+def bucket_sql(key: str, buckets: int, seed: int = 42) -> str:
+    """The number below ``buckets`` that splits, folds and samples give a key."""
+    return f"(CAST('0x' || substr(md5('{seed}:' || coalesce(CAST({key} AS VARCHAR), '')), 1, 8) AS BIGINT) % {buckets})"
+
+
 def union_all(parts: Sequence[str]) -> str:
     return "\nUNION ALL\n".join(parts)
 

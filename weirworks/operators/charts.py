@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weirworks.functions.columns import all_present, quoted
 from weirworks.operators.profile import missing_profile
+from weirworks.operators.regression import hash_bucket
 from weirworks.operators.quantiles import exact_quantiles, quantile_values
 from weirworks.operators.groups import top_groups
 
@@ -84,7 +85,7 @@ def geo_footprint(before: DataFrame, after: DataFrame, x: str, y: str, cell: flo
 
 def geo_sample(df: DataFrame, key: str, x: str, y: str, share: float, seed: int = 42) -> DataFrame:
     """Coordinates of a share of the rows, chosen by key so that the choice never depends on partitions."""
-    pick = F.pmod(F.xxhash64(quoted(key), F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)
+    pick = hash_bucket(key, 1_000_000, seed) < int(share * 1_000_000)
     return df.filter(all_present([x, y]) & pick).select(quoted(key), quoted(x), quoted(y))
 
 

@@ -8,17 +8,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weirworks.functions.columns import quoted
-from weirworks.operators.profile import frame_summary, missing_profile, value_counts_topk
+from weirworks.operators.profile import frame_summary, missing_profile
 
 
 def compare_counts(before: DataFrame, after: DataFrame, column: str, k: int = 10) -> DataFrame:
-    """(value, raw, cleaned): the top values of both frames side by side, absent ones as 0."""
-    left = value_counts_topk(before, column, k).withColumnRenamed("n", "raw")
-    right = value_counts_topk(after, column, k).withColumnRenamed("n", "cleaned")
-    zero = F.lit(0).cast("bigint")
-    return left.join(right, "value", "full_outer").select(
-        "value", F.coalesce("raw", zero).alias("raw"), F.coalesce("cleaned", zero).alias("cleaned")
+    """(value, raw, cleaned): the values in the top k of either frame, with their counts in both."""
+    sides = before.select(quoted(column).alias("value"), F.lit(1).alias("b"), F.lit(0).alias("a")).unionAll(
+        after.select(quoted(column).alias("value"), F.lit(0).alias("b"), F.lit(1).alias("a"))
     )
+    counts = sides.filter("value IS NOT NULL").groupBy("value").agg(F.sum("b").alias("raw"), F.sum("a").alias("cleaned"))
+    tops = [counts.filter(F.col(c) > 0).orderBy(F.desc(c), "value").limit(k) for c in ("raw", "cleaned")]
+    return tops[0].unionAll(tops[1]).distinct()
 
 
 def compare_missing(before: DataFrame, after: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -31,7 +31,8 @@ MAX_DEPTH = 30  # the deepest tree Spark grows; stands for "no limit"
 
 def hash_bucket(key: str, buckets: int, seed: int = 42) -> Column:
     """A number below ``buckets`` that depends on the key only, not on partitions or order."""
-    return F.pmod(F.xxhash64(quoted(key), F.lit(seed)), F.lit(buckets)).cast("int")
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(quoted(key).cast("string"), F.lit("")))), 1, 8)
+    return F.pmod(F.conv(digits, 16, 10).cast("bigint"), F.lit(buckets)).cast("int")
 
 
 def mark_split(df: DataFrame, key: str, train_share: float = 0.8, seed: int = 42) -> DataFrame:

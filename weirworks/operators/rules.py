@@ -156,14 +156,23 @@ def cap_summary(df: DataFrame, column: str, percentile: float = 99.0) -> DataFra
     return df.agg(F.max(cutoff).alias("cutoff"), kept.alias("kept_rows"), (F.count("*") - kept).alias("excluded_rows"))
 
 
-def project_features(df: DataFrame, features: Sequence[str], target: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Key, feature and target columns; the first numeric columns stand in when any is absent."""
-    if all(name in df.columns for name in [*features, target]):
+def project_features(
+    df: DataFrame, features: Sequence[str], target: str, keys: Sequence[str] = (), stand_ins: int = 0
+) -> DataFrame:
+    """Key, feature and target columns.
+
+    If one is absent, the first numeric column stands in as target and up to ``stand_ins`` others as features; with none
+    allowed, the default, that is an error.
+    """
+    absent = [name for name in [*features, target] if name not in df.columns]
+    if not absent:
         return df.select(*map(quoted, [*keys, *features, target]))
+    if not stand_ins:
+        raise ValueError(f"absent columns: {absent}")
     numeric = [n for n in numeric_names(df) if n not in keys]
     if len(numeric) < 2:
         raise ValueError("a stand-in needs one numeric target and at least one numeric feature")
-    return df.select(*map(quoted, [*keys, *numeric[1:4], numeric[0]]))
+    return df.select(*map(quoted, [*keys, *numeric[1 : 1 + stand_ins], numeric[0]]))
 
 
 def input_gate(df: DataFrame, required: Sequence[str], min_rows: int = 1, drop_incomplete: bool = True) -> DataFrame:
