@@ -242,6 +242,31 @@ def _(spark, sf_dir):
     return spark.read.schema(breakdown.schema).json(paths["removals"])
 
 
+_JOB_FIGURES = ("rows_in", "rows_out", "rows_removed", "rows_retained_percent", "initial_missing_percent",
+                "final_missing_percent", "duplicate_reduction")
+_JOB_SQL = union_all(
+    [
+        "SELECT 'backup' AS result, 'rows' AS item, CAST(count(*) AS DOUBLE) AS value FROM sites_raw",
+        "SELECT 'cleaned', 'rows', CAST(count(*) AS DOUBLE) FROM cleaned",
+        f"SELECT 'removals', concat(step, ' ', rule), CAST(rows_removed AS DOUBLE) FROM ({removals_sql()}) j",
+        *[f"SELECT 'metrics', '{c}', CAST({c} AS DOUBLE) FROM ({metrics_sql()}) j" for c in _JOB_FIGURES],
+    ]
+)
+
+
+@query("cleaning_job", f"{_CLEAN} {_JOB_SQL}")
+def _(spark, sf_dir):
+    """The whole job (snapshot, clean, write, score, report), and what its files hold, in long form."""
+    paths = cleaning.cleaning_job(sites_raw(spark, sf_dir), BASE, scratch_path(spark, "job"))
+    whole = [spark.read.parquet(paths[name]).agg(F.lit(name).alias("result"), F.lit("rows").alias("item"),
+                                                 F.count("*").cast("double").alias("value")) for name in ("backup", "cleaned")]
+    removals = spark.read.json(paths["removals"]).select(
+        F.lit("removals"), F.concat_ws(" ", F.col("step").cast("string"), "rule"), F.col("rows_removed").cast("double"))
+    metrics = rounded(spark.read.json(paths["metrics"]).select(*[F.col(c).cast("double") for c in _JOB_FIGURES]))
+    figures = metrics.select(F.lit("metrics"), F.explode(F.create_map(*[x for c in _JOB_FIGURES for x in (F.lit(c), F.col(c))])))
+    return whole[0].unionAll(whole[1]).unionAll(removals).unionAll(figures)
+
+
 @query(
     "strategy_summary",
     f"{_RAW}, {_ALL} "
