@@ -122,7 +122,7 @@ def test_comparison_keeps_failing_models(data):
     found = {
         r.model: r for r in tuning.compare_models(data, "id", FEATURES, "y", ["linear_regression", "unknown"], folds=2).collect()
     }
-    assert found["unknown"].error.startswith("unknown model") and found["linear_regression"].best
+    assert found["unknown"].error.startswith("ValueError: unknown model") and found["linear_regression"].best
     assert not found["unknown"].best
 
 

@@ -69,3 +69,10 @@ def test_unshared_scratch_is_for_single_machines():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_dir(Session())
+
+
+def test_counting_a_scan_sees_broken_rows(spark, tmp_path):
+    path = written(tmp_path, "a,b\nx,1\nz,2,3\n")
+    assert tables.scan_csv(spark, path, SCHEMA, broken="drop").count() == 1
+    with pytest.raises(Exception, match="wrong number of fields"):
+        tables.scan_csv(spark, path, SCHEMA, columns=["a"]).count()

@@ -86,7 +86,7 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     path = written_csv(spark, sf_dir)
-    return tables.scan_csv(spark, path, CSV_SCHEMA, ["site_id", "company", "events_1998"], required=["site_id"])
+    return tables.scan_csv(spark, path, CSV_SCHEMA, ["site_id", "company", "events_1998"], ["site_id"], broken="keep")
 
 
 @query("scan_split", _CSV_SQL)

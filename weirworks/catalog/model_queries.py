@@ -23,7 +23,7 @@ LINE = ("l_quantity", "l_discount", "l_tax")
 PRICE = "l_extendedprice"
 SITE_FEATURES = ("events_1995", "events_1996", "events_1997", "events_1998", "balance")
 SITE_TARGET = "mean_events"
-TREES = 10  # ensemble size of the registered queries; the library's defaults are the usual 50 to 100
+TREES = 100  # the library's default
 
 
 def lines(spark, sf_dir):
@@ -121,7 +121,7 @@ def _(spark, sf_dir):
 
 @query("select_rfe")
 def _(spark, sf_dir):
-    return features.select_rfe(site_rows(spark, sf_dir), SITE_FEATURES, SITE_TARGET, keep=2, trees=TREES)
+    return features.select_rfe(site_rows(spark, sf_dir), SITE_FEATURES, SITE_TARGET, keep=2)
 
 
 @query("select_importance")
@@ -365,7 +365,7 @@ def _(spark, sf_dir):
 @query("voting_ensemble")
 def _(spark, sf_dir):
     names = ("random_forest", "gradient_boosting", "adaboost")
-    members = {n: regression.make_regressor(n, SITE_TARGET, trees=5) for n in names}
+    members = {n: regression.make_regressor(n, SITE_TARGET, trees=TREES) for n in names}
     rows = site_rows(spark, sf_dir)
     model = regression.scaled_pipeline(SITE_FEATURES, VotingRegressor(members)).fit(rows)
     return model.transform(rows).select("site_id", quoted(SITE_TARGET), "prediction")
@@ -374,9 +374,9 @@ def _(spark, sf_dir):
 @query("stacking_ensemble")
 def _(spark, sf_dir):
     names = ("random_forest", "decision_tree", "linear_regression")
-    members = {n: regression.make_regressor(n, SITE_TARGET, trees=5) for n in names}
-    rows = regression.mark_folds(site_rows(spark, sf_dir), "site_id", 3)
-    stacking = StackingRegressor(members, SITE_TARGET, folds=3, trees=TREES)
+    members = {n: regression.make_regressor(n, SITE_TARGET, trees=TREES) for n in names}
+    rows = regression.mark_folds(site_rows(spark, sf_dir), "site_id")
+    stacking = StackingRegressor(members, SITE_TARGET)
     model = regression.scaled_pipeline(SITE_FEATURES, stacking).fit(rows)
     return model.transform(rows).select("site_id", quoted(SITE_TARGET), "prediction")
 
@@ -388,7 +388,7 @@ GRID = {"n_estimators": (5, 10), "max_depth": (3, 6), "min_samples_split": (2, 5
 
 @query("cross_validate")
 def _(spark, sf_dir):
-    estimator = tuning.forest({"n_estimators": TREES, "max_depth": 5}, SITE_TARGET)
+    estimator = tuning.forest_of({"n_estimators": TREES, "max_depth": 5}, SITE_TARGET)
     return tuning.cross_validate(site_rows(spark, sf_dir), "site_id", SITE_FEATURES, SITE_TARGET, estimator)
 
 
@@ -447,7 +447,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     rows = site_rows(spark, sf_dir)
     names = ("linear_regression", "ridge", "lasso")
-    found = tuning.compare_models(rows, "site_id", SITE_FEATURES, SITE_TARGET, names, folds=3)
+    found = tuning.compare_models(rows, "site_id", SITE_FEATURES, SITE_TARGET, names)
     return charts.comparison_table(found)
 
 
@@ -455,7 +455,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     estimator = LinearRegression(labelCol=SITE_TARGET, featuresCol="features", solver="normal")
     return tuning.learning_curve(
-        site_rows(spark, sf_dir), "site_id", SITE_FEATURES, SITE_TARGET, estimator, (0.2, 0.4, 0.6, 0.8, 1.0), folds=3
+        site_rows(spark, sf_dir), "site_id", SITE_FEATURES, SITE_TARGET, estimator
     )
 
 

@@ -89,6 +89,17 @@ def missing_count(names: Sequence[str]) -> Column:
     return reduce(add, (quoted(n).isNull().cast("int") for n in names), F.lit(0))
 
 
+def row_hash(df: DataFrame, names: Sequence[str]) -> Column:
+    """A 128-bit digest of a row: equal exactly for rows that a grouping would put together.
+
+    Two different rows share one with a chance of about 1e-15 at 10^11 rows.
+    """
+    fractions = {f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
+    # Zero has two signs, which a grouping does not tell apart.
+    parts = [(F.when(quoted(n) == 0, 0.0).otherwise(quoted(n)) if n in fractions else quoted(n)).alias(f"c{i}") for i, n in enumerate(names)]
+    return F.unhex(F.md5(F.to_json(F.struct(*parts)).cast("binary")))
+
+
 def present_count(names: Sequence[str]) -> Column:
     return reduce(add, (quoted(n).isNotNull().cast("int") for n in names), F.lit(0))
 

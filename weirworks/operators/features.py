@@ -8,11 +8,11 @@ from itertools import combinations, combinations_with_replacement
 from pyspark.ml import Estimator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weirworks.functions.columns import long_rows, numeric_names, quoted
+from weirworks.operators.forests import forest
 from weirworks.operators.quantiles import quantile_values
 from weirworks.session import reused
 
@@ -107,15 +107,11 @@ def _importances(model, features: Sequence[str]) -> list[tuple[str, float]]:
     return [(c, abs(float(w))) for c, w in zip(features, weights.toArray())]
 
 
-def _forest(trees: int, target: str, seed: int) -> RandomForestRegressor:
-    return RandomForestRegressor(labelCol=target, featuresCol="features", numTrees=trees, seed=seed)
-
-
 def importance_table(
     df: DataFrame, features: Sequence[str], target: str, estimator: Estimator | None = None, trees: int = 100, seed: int = 42
 ) -> DataFrame:
     """(feature, importance) of one fitted model, one row per feature."""
-    model = (estimator or _forest(trees, target, seed)).fit(assembled(df, features))
+    model = (estimator or forest(target, trees, seed=seed)).fit(assembled(df, features))
     return df.sparkSession.createDataFrame(_importances(model, features), "feature string, importance double")
 
 
@@ -130,7 +126,7 @@ def select_importance(
     seed: int = 42,
 ) -> DataFrame:
     """(feature, importance, selected): at or above a threshold, the k-th largest importance, or the median."""
-    model = (estimator or _forest(trees, target, seed)).fit(assembled(df, features))
+    model = (estimator or forest(target, trees, seed=seed)).fit(assembled(df, features))
     weights = _importances(model, features)
     ordered = sorted((w for _, w in weights), reverse=True)
     if threshold is None and max_features is not None:
@@ -149,7 +145,7 @@ def select_rfe(
     remaining, dropped = list(features), []
     with reused(df.select(*map(quoted, [*features, target]))) as data:
         while len(remaining) > keep:
-            model = _forest(trees, target, seed).fit(assembled(data, remaining))
+            model = forest(target, trees, seed=seed).fit(assembled(data, remaining))
             worst = min(_importances(model, remaining), key=lambda pair: pair[1])[0]
             remaining.remove(worst)
             dropped.append(worst)

@@ -17,6 +17,7 @@ from weirworks.functions.columns import (
     other_names,
     percent,
     quoted,
+    row_hash,
     strip,
 )
 from weirworks.operators.quantiles import quantile_table
@@ -56,8 +57,12 @@ def empty_columns(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
 
 
 def row_groups(df: DataFrame) -> DataFrame:
-    """Distinct rows with their number of copies in ``copies``; copies meet before the shuffle."""
-    return df.groupBy(*map(quoted, df.columns)).agg(F.count("*").alias("copies"))
+    """(hash, copies, missing): a row for each different row, with its number of copies and of missing values.
+
+    Digests and counts move through the network, not the rows; copies meet before that.
+    """
+    digests = df.select(row_hash(df, df.columns).alias("hash"), missing_count(df.columns).alias("missing"))
+    return digests.groupBy("hash").agg(F.count("*").alias("copies"), F.max("missing").alias("missing"))
 
 
 def duplicate_count(df: DataFrame) -> DataFrame:
@@ -78,7 +83,7 @@ def frame_summary(df: DataFrame) -> DataFrame:
     width = len(df.columns)
     grouped = row_groups(df)
     rows = F.coalesce(F.sum("copies"), F.lit(0))
-    missing = F.coalesce(F.sum(F.col("copies") * missing_count(df.columns)), F.lit(0))
+    missing = F.coalesce(F.sum(F.col("copies") * F.col("missing")), F.lit(0))
     return grouped.agg(
         rows.alias("rows"),
         F.lit(width).cast("bigint").alias("columns"),

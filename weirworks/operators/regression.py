@@ -7,12 +7,13 @@ from collections.abc import Sequence
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.feature import ElementwiseProduct, StandardScaler, VectorAssembler
 from pyspark.ml.linalg import Vectors
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weirworks.functions.columns import all_present, quoted
 from weirworks.operators.ensembles import AdaBoostR2
+from weirworks.operators.forests import FOREST_DEPTH, MAX_DEPTH, forest
 from weirworks.operators.rules import require_input
 from weirworks.session import fit_input
 
@@ -26,7 +27,6 @@ MODEL_NAMES = (
     "lasso",
     "decision_tree",
 )
-MAX_DEPTH = 30  # the deepest tree Spark grows; stands for "no limit"
 
 
 def hash_bucket(key: str, buckets: int, seed: int = 42) -> Column:
@@ -96,11 +96,11 @@ class RidgeRegression(Estimator):
         ).fit(dataset)
 
 
-def make_regressor(name: str, target: str, trees: int = 100, seed: int = 42, max_depth: int = 10) -> Estimator:
+def make_regressor(name: str, target: str, trees: int = 100, seed: int = 42, max_depth: int | None = FOREST_DEPTH) -> Estimator:
     """One regressor of the comparison by name."""
     common = {"labelCol": target, "featuresCol": "features"}
     if name == "random_forest":
-        return RandomForestRegressor(**common, numTrees=trees, maxDepth=max_depth, seed=seed)
+        return forest(target, trees, max_depth, seed)
     if name == "gradient_boosting":
         return GBTRegressor(**common, maxIter=trees, maxDepth=3, stepSize=0.1, seed=seed)
     if name == "adaboost":

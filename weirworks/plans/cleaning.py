@@ -16,9 +16,10 @@ from weirworks.functions.columns import (
     percent,
     present_count,
     quoted,
+    row_hash,
 )
 from weirworks.operators.compare import stack_labelled
-from weirworks.operators.profile import column_scores, row_groups, score_from_columns
+from weirworks.operators.profile import column_scores, score_from_columns
 from weirworks.operators.rules import (
     coerce_numeric,
     drop_duplicates,
@@ -139,37 +140,47 @@ def clean(df: DataFrame, rules: CleaningRules) -> DataFrame:
 def _audit(df: DataFrame, rules: CleaningRules) -> tuple[DataFrame, list[str]]:
     """One row with all counts of a cleaning run, from two groupings of identical rows.
 
-    Raw rows are grouped first, so a row that occurs a billion times is judged once and carries its count.
+    Only digests of rows move, with a few numbers: first those of the raw rows, then those of the rewritten ones.
     """
     rules = _gate(df, rules)
     names = df.columns
     width = len(names)
-    raw = row_groups(df).withColumns(
-        {"_missing": F.col("copies") * missing_count(names), "_extra": F.col("copies") - 1}
-    )
-    rewritten = _rewritten(raw, rules, df)
+    marked = df.withColumns({"_raw": row_hash(df, names), "_missing": missing_count(names)})
+    rewritten = _rewritten(marked, rules, df)
     row_rules = _row_rules(rules)
     failed = F.coalesce(*[F.when(fails, F.lit(name)) for name, fails in row_rules]) if row_rules else F.lit(None)
-    grouped = (
-        rewritten.withColumn("_rule", failed.cast("string"))
-        .groupBy(*map(quoted, names), "_rule")
-        .agg(F.sum("copies").alias("n"), F.sum("_missing").alias("_missing"), F.sum("_extra").alias("_extra"))
-    )
-    survives = F.col("_rule").isNull()
-    survivors = F.when(survives, F.lit(1) if rules.deduplicate else F.col("n")).otherwise(F.lit(0))
-    sparse = is_sparse(names, rules.max_missing_share) if not rules.fill else F.lit(False)
-    kept = F.when(sparse, F.lit(0)).otherwise(survivors)
     filled = rules.fill and rules.fill_value is not None
     if filled:
         text = isinstance(rules.fill_value, str)
         open_names = [c for c in names if (rewritten.schema[c].dataType.simpleString() == "string") != text]
     else:
         open_names = names
+    judged = rewritten.select(
+        "_raw",
+        "_missing",
+        failed.cast("string").alias("_rule"),
+        row_hash(rewritten, names).alias("_row"),
+        missing_count(open_names).alias("_open"),
+        (is_sparse(names, rules.max_missing_share) if not rules.fill else F.lit(False)).alias("_sparse"),
+    )
+    # Equal raw rows are judged alike, so any one of them stands for all.
+    alike = [F.max(c).alias(c) for c in ("_missing", "_rule", "_row", "_open", "_sparse")]
+    raw = judged.groupBy("_raw").agg(F.count("*").alias("copies"), *alike)
+    grouped = raw.groupBy("_row", "_rule").agg(
+        F.sum("copies").alias("n"),
+        F.sum(F.col("copies") * F.col("_missing")).alias("_missing"),
+        F.sum(F.col("copies") - 1).alias("_extra"),
+        F.max("_open").alias("_open"),
+        F.max("_sparse").alias("_sparse"),
+    )
+    survives = F.col("_rule").isNull()
+    survivors = F.when(survives, F.lit(1) if rules.deduplicate else F.col("n")).otherwise(F.lit(0))
+    kept = F.when(F.col("_sparse"), F.lit(0)).otherwise(survivors)
     total = {
         "rows_in": F.sum("n"),
         "rows_out": F.sum(kept),
         "missing_in": F.sum("_missing"),
-        "missing_out": F.sum(kept * missing_count(open_names)),
+        "missing_out": F.sum(kept * F.col("_open")),
         "duplicates_in": F.sum("_extra"),
         "duplicates_out": F.sum(F.when(kept > 0, kept - 1).otherwise(F.lit(0))),
     }

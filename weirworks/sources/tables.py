@@ -44,42 +44,47 @@ def scan_csv(
 
     Columns are found by the name in the header, in whatever order the file has them. ``columns`` prunes the result; every
     required column must be among them. ``broken`` says what happens to rows with more or fewer fields than the header:
-    "fail" ends the job that meets one, "drop" leaves them out, "keep" takes the fields that are there. A job that needs some
-    columns only parses those and does not see such rows; ``broken_rows`` lists them all. ``multi_line`` allows line breaks within quotes; such a file cannot be split between tasks.
+    "fail" ends the job that meets one, "drop" leaves them out, "keep" takes the fields that are there. The first two have to
+    parse all columns of the file, "keep" only those that are asked for. ``broken_rows`` lists such rows.
+    ``multi_line`` allows line breaks within quotes; such a file cannot be split between tasks.
     """
     if broken not in ("fail", "drop", "keep"):
         raise ValueError(f"unknown choice for broken rows: {broken}")
     absent = set(required) - set(schema.names if columns is None else columns)
     if absent:
         raise ValueError(f"required columns must be selected: {sorted(absent)}")
-    raw = _text_scan(spark, path, multi_line)
+    raw = _text_scan(spark, path, multi_line, broken != "keep")
     missing = [n for n in (schema.names if columns is None else columns) if n not in raw.columns]
     if missing:
         raise ValueError(f"columns absent from the header: {missing}")
     wanted = schema.names if columns is None else list(columns)
     if broken == "drop":
-        raw = raw.filter(F.coalesce(F.length(quoted(BROKEN)), F.lit(0)) == 0)
+        raw = raw.filter(~_is_broken(raw))
     elif broken == "fail":
         message = F.concat(F.lit("a row with the wrong number of fields: "), quoted(BROKEN))
-        raw = raw.filter(F.when(quoted(BROKEN).isNull(), True).otherwise(F.raise_error(message).cast("boolean")))
+        raw = raw.filter(F.when(_is_broken(raw), F.raise_error(message).cast("boolean")).otherwise(True))
     blanked = blank_sentinels(raw.select(*map(quoted, wanted)), strings)
     return blanked.select(*[_typed(n, schema[n].dataType) for n in wanted])
 
 
-def _text_scan(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
-    """All columns of the header as text, and the whole row where its fields do not fit the header."""
+def _text_scan(spark: SparkSession, path: str, multi_line: bool, watched: bool = True) -> DataFrame:
+    """All columns of the header as text and, if watched, the whole row where its fields do not fit the header."""
     options = {"header": True, "escape": '"', "multiLine": multi_line}
     names = spark.read.csv(path, inferSchema=False, **options).columns
-    text_schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, BROKEN]])
+    text_schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, *[BROKEN] * watched]])
     return spark.read.schema(text_schema).csv(path, columnNameOfCorruptRecord=BROKEN, mode="PERMISSIVE", **options)
 
 
+def _is_broken(raw: DataFrame) -> Column:
+    """Only a scan of all columns sees how many fields a row has, so the test asks for all of them."""
+    whole = F.concat_ws("", *[F.coalesce(quoted(c), F.lit("")) for c in raw.columns])
+    return (F.length(whole) >= 0) & (F.coalesce(F.length(quoted(BROKEN)), F.lit(0)) > 0)
+
+
 def broken_rows(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """(row): the rows whose number of fields is not that of the header."""
     raw = _text_scan(spark, path, multi_line)
-    # Only a scan of all columns sees how many fields a row has.
-    whole = F.concat_ws("", *[F.coalesce(quoted(c), F.lit("")) for c in raw.columns])
-    return raw.filter((F.length(whole) >= 0) & (F.length(quoted(BROKEN)) > 0)).select(quoted(BROKEN).alias("row"))
+    return raw.filter(_is_broken(raw)).select(quoted(BROKEN).alias("row"))
 
 
 def scan_split(
