@@ -15,6 +15,7 @@ that repeat an id in the labels count once each. Extra columns are ignored by ``
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass
@@ -183,16 +184,28 @@ class Chain:
         return [float(1 / (1 + np.exp(-np.clip(z, -30, 30)))) for z in odds]
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, categories: Mapping[str, Column], rules: ToxicRules, id_col: str, text_col: str) -> pd.DataFrame:
-    """The bounded sample: its ids are chosen from the labels alone, then only their texts are fetched."""
+def fit_chain(docs: DataFrame, labels: DataFrame, categories: Mapping[str, Column], rules: ToxicRules, id_col: str, text_col: str) -> list[Link]:
+    """The chain, trained in one task on the bounded sample.
+
+    The ids of the sample are chosen from the labels alone, then only their texts are fetched.
+    """
+    names = list(categories)
     complete = labels.where(F.col(quoted(id_col)).isNotNull()).select(
         F.col(quoted(id_col)).alias("label_id"), *[c.cast("int").alias(f"c{i}") for i, c in enumerate(categories.values())]
     ).dropna().withColumn("fold", F.pmod(F.xxhash64("label_id", F.lit(1)), F.lit(1 << 20)))
     chosen = complete.orderBy(F.xxhash64("label_id"), "label_id").limit(rules.sample_rows)
     texts = pick(docs, doc_id=id_col, text=text_col)
     found = texts.join(F.broadcast(chosen), texts["doc_id"] == chosen["label_id"]).select("doc_id", "text", "fold", *[f"c{i}" for i in range(len(categories))])
-    frame = found.toPandas().sort_values(["fold", "doc_id"]).reset_index(drop=True)
-    return frame.rename(columns={f"c{i}": name for i, name in enumerate(categories)})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        parts = list(batches)
+        if parts:
+            frame = pd.concat(parts).sort_values(["fold", "doc_id", "text"]).reset_index(drop=True)
+            chain = train(frame.rename(columns={f"c{i}": name for i, name in enumerate(names)}), names, rules)
+            yield pd.DataFrame({"chain": [pickle.dumps(chain)]})
+
+    trained = found.repartition(1).mapInPandas(run, "chain binary").collect()
+    return pickle.loads(bytes(trained[0].chain)) if trained else train(pd.DataFrame({"text": []}), names, rules)
 
 
 def score(
@@ -206,7 +219,7 @@ def score(
     spark = docs.sparkSession
     ship(spark)
     names = list(categories)
-    links = train(training_sample(docs, labels, categories, rules, id_col, text_col), names, rules)
+    links = fit_chain(docs, labels, categories, rules, id_col, text_col)
     shared = spark.sparkContext.broadcast(links)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
