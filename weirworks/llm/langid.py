@@ -14,10 +14,12 @@ every text if nothing can be learned. Ties go to the language first in alphabeti
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -196,20 +198,26 @@ class Network:
 
 
 def learn(docs: DataFrame, rules: LanguageRules = LanguageRules(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network | None:
-    """A network trained on the bounded sample; None if there is nothing to learn from."""
+    """A network trained in one task on the bounded sample; None if there is nothing to learn from."""
+    ship(docs.sparkSession)
     rows = pick(docs, doc_id=id_col, text=text_col, lang=lang_col).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     ranked = rows.select("doc_id", "lang").withColumn("place", place).where(F.col("place") <= rules.per_language)
     chosen = ranked.orderBy("place", "lang").limit(rules.sample_docs).select(F.col("doc_id").alias("chosen"), F.col("lang").alias("chosen_lang"))
     matched = rows.join(F.broadcast(chosen), rows["doc_id"].eqNullSafe(F.col("chosen")) & (rows["lang"] == F.col("chosen_lang")))
-    sample = matched.select("doc_id", "text", "lang").toPandas().sort_values(["lang", "doc_id", "text"]).drop_duplicates()
-    languages = sorted(sample["lang"].unique())
-    if not languages:
-        return None
-    network = Network(languages, rules)
-    labels = sample["lang"].map({name: k for k, name in enumerate(languages)}).to_numpy()
-    network.train([text.encode("utf-8", "replace") for text in sample["text"]], labels)
-    return network
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        parts = list(batches)
+        if parts:
+            sample = pd.concat(parts).drop_duplicates().sort_values(["lang", "doc_id", "text"])
+            languages = sorted(sample["lang"].unique())
+            network = Network(languages, rules)
+            labels = sample["lang"].map({name: k for k, name in enumerate(languages)}).to_numpy()
+            network.train([text.encode("utf-8", "replace") for text in sample["text"]], labels)
+            yield pd.DataFrame({"network": [pickle.dumps(network)]})
+
+    trained = matched.select("doc_id", "text", "lang").repartition(1).mapInPandas(run, "network binary").collect()
+    return pickle.loads(bytes(trained[0].network)) if trained else None
 
 
 def identify(docs: DataFrame, network: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
