@@ -24,19 +24,26 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.where("u <> v").distinct()
 
 
+def _only_stars(edges: DataFrame) -> bool:
+    """Whether every node has one smaller neighbour at most, and none of those has one itself."""
+    sides = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    )
+    counts = sides.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return counts.where("up > 1 OR (up = 1 AND down = 1)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node of its component for every node that has an edge; ``edges`` has columns a, b."""
     spark = edges.sparkSession
     tidy = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     path = scratch_path(spark, "edges")
     tidy.write.parquet(path)
-    kept, seen = spark.read.schema(tidy.schema).parquet(path), None
-    while True:
-        sums = kept.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if tuple(sums) == seen or sums[0] == 0:
-            return kept.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen, old = tuple(sums), path
+    kept = spark.read.schema(tidy.schema).parquet(path)
+    while not _only_stars(kept):
+        old = path
         path = scratch_path(spark, "edges")
         _star(_star(kept, True), False).write.parquet(path)
         kept = spark.read.schema(tidy.schema).parquet(path)
         drop_path(spark, old)
+    return kept.select(F.col("u").alias("node"), F.col("v").alias("root"))
