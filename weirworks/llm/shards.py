@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -101,7 +102,10 @@ def _stream(docs: DataFrame, ranks_path: str, pattern: str, rules: ShardRules) -
 
 
 def _pieces(stream: DataFrame, bases: dict[int, int], total: int, rules: ShardRules) -> DataFrame:
-    """(shard, slot, at, piece): the stream cut at sequence borders; documents that follow each other are joined first."""
+    """(shard, slot, at, piece): the stream cut at sequence borders; documents that follow each other are joined first.
+
+    Pieces are compressed one by one, because the shuffle's own fast compression does little for ids.
+    """
     spark = stream.sparkSession
     shared = spark.sparkContext.broadcast(bases)
 
@@ -109,7 +113,7 @@ def _pieces(stream: DataFrame, bases: dict[int, int], total: int, rules: ShardRu
         order = Permutation(-(-total // rules.length), rules.key, rules.rounds)
         for batch in batches:
             parts, starts, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            numbers, offsets, cut = [], [], []
+            numbers, offsets, cut, pack = [], [], [], zstandard.ZstdCompressor(level=3).compress
 
             def flush(begin: int, held: list[bytes]) -> None:
                 joined, at = b"".join(held), 0
@@ -118,7 +122,7 @@ def _pieces(stream: DataFrame, bases: dict[int, int], total: int, rules: ShardRu
                     size = min(len(joined) - at, (rules.length - place % rules.length) * rules.width)
                     numbers.append(place // rules.length)
                     offsets.append(place % rules.length)
-                    cut.append(joined[at : at + size])
+                    cut.append(pack(joined[at : at + size]))
                     at += size
 
             begin, end, held = 0, None, []
@@ -150,14 +154,14 @@ def _assembled(pieces: DataFrame, slots: int, rules: ShardRules) -> DataFrame:
                 raise ValueError(f"shard {shard} lacks {missing} bytes")
             return pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([content], pa.binary())], names=["shard", "content"])
 
-        current, held = None, []
+        current, held, unpack = None, [], zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for shard, piece in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if shard != current:
                     if held:
                         yield row(current, held)
                     current, held = shard, []
-                held.append(piece)
+                held.append(unpack(piece))
         if held:
             yield row(current, held)
 
@@ -172,7 +176,8 @@ def write_shards(
     ship(spark)
     stored = scratch_path(spark, "token-stream")
     stream = _stream(pick(docs, text=text_col), ranks_path, pattern, rules)
-    stream.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "6").parquet(stored)
+    pages = {"parquet.compression.codec.zstd.level": "6", "parquet.page.size": str(4 << 20)}
+    stream.write.option("compression", "zstd").options(**pages).parquet(stored)
     stream = spark.read.schema(stream.schema).parquet(stored)
     # One row for each task that wrote the stream.
     totals = stream.groupBy("part").agg(F.max(F.col("start") + F.expr(f"octet_length(ids) div {rules.width}")).alias("n")).orderBy("part").collect()
@@ -185,7 +190,7 @@ def write_shards(
         pieces = _pieces(stream, bases, total, rules)
         if gap:
             last = int(Permutation(sequences, rules.key, rules.rounds).slots(np.array([sequences - 1]))[0])
-            filling = bytearray(rules.separator.to_bytes(rules.width, "little") * gap)
+            filling = bytearray(zstandard.compress(rules.separator.to_bytes(rules.width, "little") * gap))
             pieces = pieces.unionAll(spark.createDataFrame([(last // rules.per_shard, last, rules.length - gap, filling)], pieces.schema))
         shards = -(-sequences // rules.per_shard)
         tasks = min(shards, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
