@@ -122,18 +122,18 @@ def _distance(left: Sequence[Column], right: Sequence[Column]) -> Column:
     return F.sqrt(reduce(add, ((a - b) * (a - b) for a, b in zip(left, right))))
 
 
-def separation(df: DataFrame, features: Sequence[str], cluster: str) -> DataFrame:
+def separation(df: DataFrame, features: Sequence[str], cluster: str, max_clusters: int = MAX_CLUSTERS) -> DataFrame:
     """(clusters, davies_bouldin, calinski_harabasz) from centroids; zeros for fewer than two clusters.
 
     Row-level work is one grouping for the centroids and one for the distances to them. Everything after that works on
-    one row per cluster, at most ``MAX_CLUSTERS`` of them.
+    one row per cluster and meets in one task; more than ``max_clusters`` of them are refused, so raise it knowingly.
     """
     rows = df.select(quoted(cluster).alias("cluster"), *[quoted(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)])
     axes = range(len(features))
     centres = rows.groupBy("cluster").agg(F.count("*").alias("n"), *[F.avg(f"x{i}").alias(f"c{i}") for i in axes])
-    centres = broadcast_if_small(centres, MAX_CLUSTERS)
-    if centres.limit(MAX_CLUSTERS + 1).count() > MAX_CLUSTERS:
-        raise ValueError(f"more than {MAX_CLUSTERS} clusters in {cluster}")
+    centres = broadcast_if_small(centres, max_clusters)
+    if centres.limit(max_clusters + 1).count() > max_clusters:
+        raise ValueError(f"more than {max_clusters} clusters in {cluster}; see max_clusters")
     spread = _distance([F.col(f"x{i}") for i in axes], [F.col(f"c{i}") for i in axes])
     within = (
         rows.join(centres, "cluster")
