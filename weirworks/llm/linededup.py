@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirworks.llm.common import pick, text_of, wide_hash
-from weirworks.session import drop_path, scratch_path
+from weirworks.session import drop_path, materialised, scratch_path
 
 #: The characters stripped from both ends of a line: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -101,7 +101,9 @@ def drop_lists(docs: DataFrame, rules: LineRules = LineRules(), id_col: str = "d
     runs = LineRuns(spark, scratch_path(spark, "line-runs"), rules.fanout)
     for batch in range(rules.batches):
         runs.add(lines.where(F.col("batch") == batch))
-    lost = lines.join(runs.frequent(rules.min_docs), "hash").where(F.col("doc_id") != F.col("keeper"))
+    # Stored before it is joined: a join of two plain exchanges is one whose hot keys can be split.
+    often = materialised(runs.frequent(rules.min_docs), "frequent-lines")
+    lost = lines.join(often, "hash").where(F.col("doc_id") != F.col("keeper"))
     return lost.groupBy("doc_id").agg(F.collect_set("hash").alias("hashes"))
 
 
