@@ -383,8 +383,6 @@ def _(spark, sf_dir):
 
 # ---- tuning and comparison --------------------------------------------------------------------
 
-GRID = {"n_estimators": (5, 10), "max_depth": (3, 6), "min_samples_split": (2, 5), "min_samples_leaf": (1,)}
-
 
 @query("cross_validate")
 def _(spark, sf_dir):
@@ -414,33 +412,24 @@ def _(spark, sf_dir):
 @query("grid_search")
 def _(spark, sf_dir):
     rows = site_rows(spark, sf_dir)
-    return tuning.search_table(rows, tuning.grid_search(rows, "site_id", SITE_FEATURES, SITE_TARGET, GRID, folds=3))
+    return tuning.search_table(rows, tuning.grid_search(rows, "site_id", SITE_FEATURES, SITE_TARGET))
 
 
 @query("random_search")
 def _(spark, sf_dir):
     rows = site_rows(spark, sf_dir)
-    found = tuning.random_search(rows, "site_id", SITE_FEATURES, SITE_TARGET, GRID, n_iter=3, folds=3)
-    return tuning.search_table(rows, found)
+    return tuning.search_table(rows, tuning.random_search(rows, "site_id", SITE_FEATURES, SITE_TARGET))
 
 
 @query("adaptive_search")
 def _(spark, sf_dir):
     rows = site_rows(spark, sf_dir)
-    ranges = {"n_estimators": (3, 12), "max_depth": (2, 8), "min_samples_split": (2, 5), "min_samples_leaf": (1, 4)}
-    found = tuning.adaptive_search(
-        rows, "site_id", SITE_FEATURES, SITE_TARGET, ranges, calls=6, rounds=3, folds=2
-    )
-    return tuning.search_table(rows, found)
-
-
-def _compared(spark, sf_dir):
-    return tuning.compare_models(site_rows(spark, sf_dir), "site_id", SITE_FEATURES, SITE_TARGET, folds=2, trees=5)
+    return tuning.search_table(rows, tuning.adaptive_search(rows, "site_id", SITE_FEATURES, SITE_TARGET))
 
 
 @query("compare_models")
 def _(spark, sf_dir):
-    return _compared(spark, sf_dir)
+    return tuning.compare_models(site_rows(spark, sf_dir), "site_id", SITE_FEATURES, SITE_TARGET)
 
 
 @query("model_comparison_table")
@@ -461,18 +450,10 @@ def _(spark, sf_dir):
 
 @query("model_workflow")
 def _(spark, sf_dir):
-    tables = modelling.model_workflow(
-        open_site_rows(spark, sf_dir),
-        "site_id",
-        SITE_FEATURES[:3],
-        SITE_TARGET,
-        scratch_path(spark, "workflow-model"),
-        names=("linear_regression", "ridge", "decision_tree"),
-        grid={"n_estimators": (5, 10), "max_depth": (4,)},
-        trees=TREES,
-        folds=2,
+    path = scratch_path(spark, "workflow-model")
+    return modelling.long_form(
+        modelling.model_workflow(open_site_rows(spark, sf_dir), "site_id", SITE_FEATURES, SITE_TARGET, path)
     )
-    return tables["residuals"]
 
 
 # ---- clustering -------------------------------------------------------------------------------
@@ -559,14 +540,14 @@ def _cluster_rows(spark, sf_dir):
 @query("find_k")
 def _(spark, sf_dir):
     rows = _cluster_rows(spark, sf_dir)
-    chosen, curve = clusters.find_k(rows, SITE_AXES, starts=1, max_iter=20)
+    chosen, curve = clusters.find_k(rows, SITE_AXES)
     return clusters.elbow_curve(rows, curve, chosen)
 
 
 @query("elbow_curve")
 def _(spark, sf_dir):
     rows = vectors(spark, sf_dir)
-    chosen, curve = clusters.find_k(rows, DIMS, k_max=6, starts=1, max_iter=20)
+    chosen, curve = clusters.find_k(rows, DIMS)
     return clusters.elbow_curve(rows, curve, chosen)
 
 
@@ -583,7 +564,6 @@ def _(spark, sf_dir):
 
 @query("cluster_workflow")
 def _(spark, sf_dir):
-    tables = modelling.cluster_workflow(
-        sites_flagged(spark, sf_dir), "site_id", ["balance", "events_1995"], ["events_2001"], k_max=5, starts=1, max_iter=20
+    return modelling.long_form(
+        modelling.cluster_workflow(sites_flagged(spark, sf_dir), "site_id", ["balance", "events_1995"], ["events_2001"])
     )
-    return tables["profile"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,9 +22,9 @@ from weirworks.operators.clusters import (
 )
 from weirworks.operators.features import importance_table, interaction_features, select_importance
 from weirworks.operators.groups import top_features
-from weirworks.operators.regression import batch_predict, regression_metrics, standard_scale
+from weirworks.operators.regression import MODEL_NAMES, batch_predict, regression_metrics, standard_scale
 from weirworks.operators.rules import require_input
-from weirworks.operators.tuning import compare_models, grid_search, refit_best, search_table
+from weirworks.operators.tuning import DEFAULT_GRID, compare_models, grid_search, refit_best, search_table
 from weirworks.session import materialised
 from weirworks.sources.sinks import load_model, save_model
 
@@ -34,8 +35,8 @@ def model_workflow(
     features: Sequence[str],
     target: str,
     path: str,
-    names: Sequence[str],
-    grid: Mapping[str, Sequence[int | None]],
+    names: Sequence[str] = MODEL_NAMES,
+    grid: Mapping[str, Sequence[int | None]] = DEFAULT_GRID,
     trees: int = 100,
     folds: int = 5,
     seed: int = 42,
@@ -92,3 +93,12 @@ def cluster_workflow(
         "profile": cluster_profile(assigned, features),
         "quality": quality,
     }
+
+
+def long_form(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """(result, row): every row of every table of a workflow, as JSON with its missing values."""
+    parts = [
+        df.select(F.lit(name).alias("result"), F.to_json(F.struct(*map(quoted, df.columns)), {"ignoreNullFields": "false"}).alias("row"))
+        for name, df in tables.items()
+    ]
+    return reduce(DataFrame.unionAll, parts)
