@@ -114,3 +114,20 @@ def test_components(spark):
             parent[b] = a
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in parent if find(x) != x}
+
+
+def test_pairs_of_a_large_bucket_are_verified_whatever_their_registers(spark):
+    rules = near.NearRules(block=4)
+    text = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    rng = np.random.default_rng(5)
+    band = [7] * rules.rows
+
+    def member(doc, body):  # one band in common, the other registers by chance
+        rest = rng.integers(0, 2**31 - 1, rules.registers - rules.rows)
+        return doc, doc, 1, [*band, *map(int, rest)], near.packed(body, rules.words)
+
+    rows = [member(1, text), member(2, text), member(3, other)]
+    members = spark.createDataFrame(rows, "doc long, root long, team long, sig array<int>, feature binary")
+    links = {tuple(sorted(r)) for r in near._block_links(members, rules).collect()}
+    assert links == {(1, 2)}

@@ -14,8 +14,7 @@
 Definitions: words are lower-cased runs of letters, digits and underscores. A text of one to four words is one shingle. A
 null text is empty; texts without a word are alike only if identical. Rows with a null id have no class and are left out;
 rows that repeat an id belong to one class if one of them does. An empty table gives an empty result. Extra columns are
-ignored. Band recall at the threshold is 1 - 4.6e-8 per pair; in large divided buckets, pairs whose registers agree by less
-than the threshold minus 0.16 are not verified, which at 128 registers is 4.5 standard deviations below it.
+ignored. Band recall at the threshold is 1 - 4.6e-8 per pair; every pair that shares a band is verified, in buckets of every size.
 """
 
 from __future__ import annotations
@@ -280,8 +279,7 @@ def _block_links(members: DataFrame, rules: NearRules) -> DataFrame:
             block = Block([unpacked(f) for f in rest["feature"]])
             for doc, root, own, feature in zip(ups["doc"], ups["root"], ups["sig"], ups["feature"], strict=True):
                 same = sig == np.asarray(own)[None, :]
-                agree = same.mean(1)
-                able = same.reshape(len(sig), rules.bands, rules.rows).all(2).any(1) & (roots != root) & (agree >= rules.threshold - 0.16)
+                able = same.reshape(len(sig), rules.bands, rules.rows).all(2).any(1) & (roots != root)
                 if able.any():
                     alike = block.similarities(unpacked(feature), able) >= rules.threshold
                     # One link joins two components.
