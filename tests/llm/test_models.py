@@ -96,3 +96,31 @@ def test_toxic_documents_of_unseen_labels(spark):
     none = labels.limit(0)
     assert toxicity.score(table, none, toxicity.default_categories(none)).where("toxic").count() == 0
     assert toxicity.toxic_documents(table.limit(0), train).count() == 0
+
+
+def test_repeated_ids_do_not_change_the_toxicity_sample(spark):
+    labels = spark.createDataFrame([(i, i % 2, (i + 1) % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    texts = [(i, " ".join(["bad", "awful"] if i % 2 == 0 else ["good", "kind"]) + f" word{i % 3}") for i in range(40)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    rules = toxicity.ToxicRules(sample_rows=30, min_z=1.0)
+    first = labels.orderBy(F.xxhash64("doc_id")).first().doc_id
+    often = [r for r in texts if r[0] == first] * 20
+    more_docs = docs.unionAll(spark.createDataFrame(often, docs.schema))
+    more_labels = labels.unionAll(spark.createDataFrame([r for r in labels.collect() if r.doc_id == first] * 20, labels.schema))
+
+    def fitted(d, given):
+        chain = toxicity.fit_chain(d, given, toxicity.default_categories(given), rules, "doc_id", "text")
+        return [(link.name, link.weights, link.earlier.tolist(), link.constant) for link in chain]
+
+    assert fitted(more_docs, more_labels) == fitted(docs, labels)
+
+
+def test_repeated_ids_do_not_change_the_language_sample(spark):
+    rows = [(i, f"{word} {i} {word}", lang) for i in range(24) for word, lang in [("the house", "en") if i % 2 else ("das haus", "de")]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    free = docs.where(~langid.held_out(F.col("doc_id")))
+    first = free.orderBy(F.xxhash64("doc_id")).first()
+    more = docs.unionAll(spark.createDataFrame([first] * 20, docs.schema))
+    rules = langid.LanguageRules(per_language=4, sample_docs=8, steps=3)
+    one, two = langid.learn(docs, rules), langid.learn(more, rules)
+    assert (one.params["v"] == two.params["v"]).all() and (one.forward.params["x"] == two.forward.params["x"]).all()

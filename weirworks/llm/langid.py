@@ -5,7 +5,8 @@ each language at that byte. A document is cut into windows, all of its bytes are
 means over them. The network is written in numpy and trained by backpropagation through time.
 
 Training uses windows of a bounded sample of labelled documents: ``per_language`` of each language with the smallest hashes
-of their id, ``sample_docs`` in all. Prediction reads text only.
+of their id, ``sample_docs`` in all, one text for each id and language: of several that with the largest md5. The rows of the
+sample are bounded, the length of a text is not. Prediction reads text only.
 
 Definitions: documents whose crc32 of the id as text leaves 2 on division by 4 are held out of training; a null id counts as
 the empty text. Null languages are not learned. A text that is null or has no letter is ``und`` with score 0; so is
@@ -202,21 +203,23 @@ def learn(docs: DataFrame, rules: LanguageRules = LanguageRules(), id_col: str =
     ship(docs.sparkSession)
     rows = pick(docs, doc_id=id_col, text=text_col, lang=lang_col).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ranked = rows.select("doc_id", "lang").withColumn("place", place).where(F.col("place") <= rules.per_language)
+    ranked = rows.select("doc_id", "lang").distinct().withColumn("place", place).where(F.col("place") <= rules.per_language)
     chosen = ranked.orderBy("place", "lang").limit(rules.sample_docs).select(F.col("doc_id").alias("chosen"), F.col("lang").alias("chosen_lang"))
     matched = rows.join(F.broadcast(chosen), rows["doc_id"].eqNullSafe(F.col("chosen")) & (rows["lang"] == F.col("chosen_lang")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterable[pd.DataFrame]:
         parts = list(batches)
         if parts:
-            sample = pd.concat(parts).drop_duplicates().sort_values(["lang", "doc_id", "text"])
+            sample = pd.concat(parts).sort_values(["lang", "doc_id", "text"])
             languages = sorted(sample["lang"].unique())
             network = Network(languages, rules)
             labels = sample["lang"].map({name: k for k, name in enumerate(languages)}).to_numpy()
             network.train([text.encode("utf-8", "replace") for text in sample["text"]], labels)
             yield pd.DataFrame({"network": [pickle.dumps(network)]})
 
-    trained = matched.select("doc_id", "text", "lang").repartition(1).mapInPandas(run, "network binary").collect()
+    # One row for each id before all go to one task.
+    once = matched.groupBy("doc_id", "lang").agg(F.max_by("text", F.md5("text")).alias("text")).select("doc_id", "text", "lang")
+    trained = once.repartition(1).mapInPandas(run, "network binary").collect()
     return pickle.loads(bytes(trained[0].network)) if trained else None
 
 

@@ -5,12 +5,13 @@ training these come from models that did not see the row (out-of-fold), so a lat
 Each model is a logistic regression on the presence of those words, and word beginnings, that go with its label.
 
 Training uses the labelled rows with the ``sample_rows`` smallest hashes of their id, a bounded sample whose size does not
-depend on the corpus; prediction reads every whole text.
+depend on the corpus (its rows are bounded, the length of a text is not); prediction reads every whole text.
 
 Definitions: words are lower-cased runs of letters, digits and underscores; how often a word occurs does not matter. A null
 text is empty and gets the models' base rates. Rows that lack a label of any category are not trained on. A
-category with one label value only is always predicted as that value. Without any labelled row nothing is rejected. Rows
-that repeat an id in the labels count once each. Extra columns are ignored by ``score`` and kept by ``drop_toxic``.
+category with one label value only is always predicted as that value. Without any labelled row nothing is rejected. Training
+takes one row for each id: of labels that repeat an id the largest, compared in the order of the chain, and of documents that
+do the text with the largest md5. Extra columns are ignored by ``score`` and kept by ``drop_toxic``.
 """
 
 from __future__ import annotations
@@ -192,10 +193,15 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: Mapping[str, Colum
     names = list(categories)
     complete = labels.where(F.col(quoted(id_col)).isNotNull()).select(
         F.col(quoted(id_col)).alias("label_id"), *[c.cast("int").alias(f"c{i}") for i, c in enumerate(categories.values())]
-    ).dropna().withColumn("fold", F.pmod(F.xxhash64("label_id", F.lit(1)), F.lit(1 << 20)))
-    chosen = complete.orderBy(F.xxhash64("label_id"), "label_id").limit(rules.sample_rows)
+    ).dropna()
+    values = [f"c{i}" for i in range(len(categories))]
+    once = complete.groupBy("label_id").agg(F.max(F.struct(*values)).alias("most")).select("label_id", "most.*")
+    once = once.withColumn("fold", F.pmod(F.xxhash64("label_id", F.lit(1)), F.lit(1 << 20)))
+    chosen = once.orderBy(F.xxhash64("label_id"), "label_id").limit(rules.sample_rows)
     texts = pick(docs, doc_id=id_col, text=text_col)
-    found = texts.join(F.broadcast(chosen), texts["doc_id"] == chosen["label_id"]).select("doc_id", "text", "fold", *[f"c{i}" for i in range(len(categories))])
+    found = texts.join(F.broadcast(chosen), texts["doc_id"] == chosen["label_id"])
+    # One row for each id before all go to one task.
+    found = found.groupBy("doc_id", "fold", *values).agg(F.max_by("text", F.md5("text")).alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterable[pd.DataFrame]:
         parts = list(batches)
