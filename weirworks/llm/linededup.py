@@ -2,8 +2,9 @@
 
 Each batch of documents becomes a run: one row per line key with the number of documents that hold it and the largest of
 their ids, range-partitioned and sorted by the key's hash. Once ``fanout`` runs share a level they are merged into one run
-of the next level, so a key is rewritten once for each level only. Counts of different batches add up, because a document
-is in one batch. To drop lines, the lines of a batch are anti-joined with the keys that the runs hold often enough.
+of the next level (a grouping with a shuffle), so a key is rewritten once for each level only. Counts of different batches
+add up, because a document is in one batch. To drop lines, one inner join of all lines with the keys that the runs hold often
+enough, after the last batch, lists what each document loses; a filter takes that out of its text. There is no anti-join.
 
 Definitions: a null text is an empty one; an empty text is one empty line. Rows that share an id are one document when
 documents are counted, and every such row loses the same lines. Rows with a null id are not counted and keep all lines.
