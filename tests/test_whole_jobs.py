@@ -9,6 +9,7 @@ from weirworks.catalog import load
 from weirworks.catalog.model_queries import SITE_AXES, SITE_FEATURES, DIMS
 from weirworks.operators import clusters, tuning
 from weirworks.plans import modelling
+from weirworks.session import fit_input
 
 QUERIES = load()[0]
 
@@ -54,3 +55,13 @@ def test_long_form_has_every_row_of_every_table(spark):
     assert found == [("second", {"name": "a"})]
     rows = [json.loads(r.row) for r in modelling.long_form(tables).collect() if r.result == "first"]
     assert sorted(rows, key=lambda r: r["k"]) == [{"k": 1, "v": None}, {"k": 2, "v": 0.5}]
+
+
+def test_fit_input_depends_on_the_rows_only(spark):
+    rows = spark.range(0, 400).selectExpr("id % 2 AS k", "CAST(id AS DOUBLE) AS x", "IF(id % 3 = 0, NULL, id) AS y")
+    layouts = []
+    for df in (rows.coalesce(1), rows.repartition(7), rows.repartition(40)):
+        with fit_input(df, "k", rows_per_task=20) as spread:
+            layouts.append(spread.rdd.glom().collect())
+    assert layouts[0] == layouts[1] == layouts[2]
+    assert len(layouts[0]) == 20 and max(map(len, layouts[0])) < 60

@@ -83,15 +83,13 @@ def reused(df: DataFrame) -> Iterator[DataFrame]:
 
 @contextmanager
 def fit_input(df: DataFrame, key: str, rows_per_task: int = 20_000) -> Iterator[DataFrame]:
-    """A kept frame for iterative fits, spread over the cores when it arrives in too few partitions for its rows.
+    """A kept frame for iterative fits, in one partition for each ``rows_per_task`` rows whatever the cluster.
 
-    Large inputs have more partitions than cores already and are left as they are.
+    Forests bag by partition, so rows are spread by a hash of the whole row and sorted: a model depends on the rows and on
+    ``rows_per_task`` only, not on cores or on how the rows arrive, and a key with many rows is spread too.
     """
     with reused(df) as kept:
-        rows = kept.count()
-        wanted = min(df.sparkSession.sparkContext.defaultParallelism, rows // rows_per_task)
-        if kept.rdd.getNumPartitions() >= wanted:
-            yield kept
-        else:
-            with reused(kept.repartition(wanted, key)) as spread:
-                yield spread
+        wanted = max(1, -(-kept.count() // rows_per_task))
+        columns = [f"`{c.replace('`', '``')}`" for c in [key, *[c for c in df.columns if c != key]]]
+        with reused(kept.repartition(wanted, *columns).sortWithinPartitions(*columns)) as spread:
+            yield spread
