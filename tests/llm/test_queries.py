@@ -31,7 +31,7 @@ def docs(spark, sf_dir):
 
 
 def test_every_operator_is_registered():
-    assert {int(name[2:].split("_")[0]) for name in QUERIES if name != "pipeline"} == set(range(1, 11)) and "pipeline" in QUERIES
+    assert {int(name[2:].split("_")[0]) for name in QUERIES if name != "pipeline"} == set(range(1, 14)) and "pipeline" in QUERIES
     assert set(QUERIES) <= set(contract.queries()) and set(ORACLES) <= set(contract.oracle_sql())
 
 
