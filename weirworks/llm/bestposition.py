@@ -238,8 +238,8 @@ def search(
     held = index.select(F.explode(F.arrays_zip("codes", "held")).alias("t")).groupBy(F.col("t.codes").alias("code")).agg(F.sum("t.held").alias("held"))
     weighted = terms.join(held, "code").select("item_id", "item_row", "code", "times", F.floor(1000 * F.log((F.lit(2.0 * n_docs) + 2) / (2 * F.col("held") + 1))).cast("long").alias("w"))
     whole = weighted.where("w > 0").groupBy("item_id", "item_row").agg(F.collect_list(F.struct("code", F.expr("w * times").alias("w"))).alias("terms"))
-    # Item blocks: items in the order of their rows, cut where the terms before them fill a block; spread over salts.
-    salts = max(1, min(int(sums.blocks), 64))
+    # Item blocks: items spread by their row; a copy of each for every four index blocks, so that no join key has many rows.
+    salts = int(sums.blocks) // 4 + 1
     n_item_blocks = max(1, -(-terms.count() // rules.block_terms))
     blocks = whole.withColumn("item_block", F.pmod(F.xxhash64("item_row"), F.lit(n_item_blocks))).groupBy("item_block").agg(F.collect_list(F.struct("item_id", "terms")).alias("asked"))
     blocks = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

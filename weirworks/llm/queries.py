@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from weirworks.llm import bestposition, bpe, covertree, decontaminate, langid, linededup, probminhash, resample, rollups, shards, toxicity, warc
+from weirworks.llm import bestposition, bpe, covertree, decontaminate, langid, linededup, probminhash, resample, rollups, shards, toxicity, trielm, warc
 from weirworks.llm.common import table
 from weirworks.session import scratch_path
 
@@ -96,6 +96,11 @@ def op10_cover_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
 
 
+@query("op11_trie_scores")
+def op11_trie_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trielm.score_texts(table(spark, sf_dir, "documents"))
+
+
 @query("op12_target_resample")
 def op12_target_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
