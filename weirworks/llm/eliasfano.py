@@ -51,7 +51,10 @@ class EliasFano:
     def of(cls, values: np.ndarray) -> EliasFano:
         n = len(values)
         width = max(0, ((int(values[-1]) + 1) // n).bit_length() - 1) if n else 0
-        low = _bits(((values[:, None] >> np.arange(width)) & 1).astype(np.uint8).reshape(-1)) if n and width else np.zeros(0, dtype=_U)
+        low = np.empty((n, width), dtype=np.uint8)
+        for bit in range(width):
+            low[:, bit] = (values >> bit) & 1
+        low = _bits(low.reshape(-1))
         ones = np.zeros(n + (int(values[-1]) >> width) + 2 if n else 1, dtype=np.uint8)
         if n:
             ones[(values >> width) + np.arange(n)] = 1
@@ -176,15 +179,21 @@ class TrigramTrie:
         with open(path, "rb") as file:
             return cls.over(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ))
 
+    def find_pairs(self, words: np.ndarray, last: np.ndarray, middle: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the last words and of the pairs; ``last`` and ``middle`` are places in the ids ``words``."""
+        word, near = self.levels["words"].find(words)[last], self.levels["before"].find(words)[middle]
+        return word, self.levels["pairs"].find(np.where((word >= 0) & (near >= 0), word * max(self.levels["before"].n, 1) + near, -1))
+
+    def find_runs(self, words: np.ndarray, word: np.ndarray, pair: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Places of the runs below these words and pairs; ``first`` are places in the ids ``words``."""
+        far = self.levels["earlier"].find(words)[first]
+        skip = self.levels["skips"].find(np.where((pair >= 0) & (far >= 0), word * max(self.levels["earlier"].n, 1) + far, -1))
+        starts = self.levels["skip_starts"].get(np.arange(self.levels["skip_starts"].n))
+        # The identifier of the first word within its context: its place among all that stand two before the last one.
+        return self.levels["runs"].find(np.where(skip >= 0, pair * self.run_width + skip - starts[np.maximum(word, 0)], -1))
+
     def find(self, last: np.ndarray, middle: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        at = self.levels
-        word = at["words"].find(last)
-        near = at["before"].find(middle)
-        known = (word >= 0) & (near >= 0)
-        pair = at["pairs"].find(np.where(known, word * max(at["before"].n, 1) + near, -1))
-        far = at["earlier"].find(first)
-        known = (pair >= 0) & (far >= 0)
-        skip = at["skips"].find(np.where(known, word * max(at["earlier"].n, 1) + far, -1))
-        known = skip >= 0
-        start = at["skip_starts"].get(np.where(known, word, 0)) if at["words"].n else np.zeros(len(skip), dtype=np.int64)
-        return word, pair, at["runs"].find(np.where(known, pair * self.run_width + skip - start, -1))
+        words, place = np.unique(np.concatenate([last, middle, first]), return_inverse=True)
+        last, middle, first = np.split(place, 3)
+        word, pair = self.find_pairs(words, last, middle)
+        return word, pair, self.find_runs(words, word, pair, first)

@@ -21,13 +21,15 @@ def pack(*arrays: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
 
-def unpack(data: bytes) -> list[np.ndarray]:
+def unpack(data: bytes, narrow: bool = False) -> list[np.ndarray]:
+    """The arrays, as 64-bit integers or in the widths they were stored in."""
     raw = zstandard.ZstdDecompressor().decompress(data)
     (count,), at, arrays = struct.unpack_from("<I", raw), 4, []
     for _ in range(count):
         width, n = struct.unpack_from("<BQ", raw, at)
         at += 9
         planes = np.frombuffer(raw, np.uint8, n << width, at).reshape(1 << width, n)
-        arrays.append(np.ascontiguousarray(planes.T).reshape(-1).view(_KINDS[width]).astype(np.int64))
+        array = np.ascontiguousarray(planes.T).reshape(-1).view(_KINDS[width])
+        arrays.append(array if narrow else array.astype(np.int64))
         at += n << width
     return arrays

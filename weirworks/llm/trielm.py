@@ -37,7 +37,7 @@ from weirworks.session import scratch_path
 
 STEP = 1024
 #: Words that a worker remembers.
-MEMO = 600_000
+MEMO = 200_000
 _END = b""
 
 
@@ -46,8 +46,8 @@ class ModelRules:
     folds: int = 7
     fold: int = 2
     #: Weights of the shorter context, in counts.
-    pair_prior: float = 50.0
-    run_prior: float = 5.0
+    pair_prior: float = 500.0
+    run_prior: float = 20.0
     #: Tokens of a block; at most 2^21 - 2, since three word numbers make one sorting key.
     block_tokens: int = 1_500_000
     shard_positions: int = 1_500_000
@@ -92,11 +92,11 @@ _BLOCK = "rows array<long>, ids array<{kind}>, held array<boolean>, body binary,
 
 def text_blocks(docs: DataFrame, rules: ModelRules) -> DataFrame:
     """Blocks of (row, doc_id, held, text): ``body`` has the lengths of the pieces of texts, how many first words of each are
-    context only, and the words as places in ``words``: sorted hashes, training counts, counts of all."""
+    context only, the words as places in ``words``, and the place of the end; ``words`` has steps of the sorted hashes, training counts, other counts."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        known, schema, pieces, size = _Codes(), None, [], 0
+        known, schema, pieces, size, end = _Codes(), None, [], 0, code_of(_END)
 
         def block():
             flat = np.concatenate([p[4] for p in pieces])
@@ -112,9 +112,9 @@ def text_blocks(docs: DataFrame, rules: ModelRules) -> DataFrame:
             total = np.bincount(flat[counted], minlength=len(codes))
             trained = np.bincount(flat[counted & ~held[owner]], minlength=len(codes))
             row = {
-                "rows": [p[0] for p in pieces], "ids": [p[1] for p in pieces], "held": held.tolist(), "body": pack(lengths, skips, flat),
+                "rows": [p[0] for p in pieces], "ids": [p[1] for p in pieces], "held": held.tolist(), "body": pack(lengths, skips, flat, np.flatnonzero(codes == end)),
                 "n_codes": len(codes), "n_trained": int(trained.sum()), "n_trained_texts": int(((skips == 0) & ~held).sum()), "n_all": int(total.sum()),
-                "words": pack(codes, trained, total),
+                "words": pack(np.diff(codes, prepend=0), trained, total - trained),
             }
             pieces.clear()
             if len(known) > MEMO:
@@ -136,7 +136,7 @@ def text_blocks(docs: DataFrame, rules: ModelRules) -> DataFrame:
                     if pieces and size + len(piece) > rules.block_tokens + 2:
                         yield block()
                         size = 0
-                    pieces.append((row, doc, held, skip, np.fromiter(map(known.__getitem__, piece), dtype=np.int64, count=len(piece))))
+                    pieces.append((row, doc, held, skip, np.fromiter(map(known.__getitem__, piece), dtype=np.int32, count=len(piece))))
                     size += len(piece)
         if pieces:
             yield block()
@@ -144,40 +144,42 @@ def text_blocks(docs: DataFrame, rules: ModelRules) -> DataFrame:
     return docs.mapInArrow(run, _BLOCK.format(kind=kind))
 
 
-_ANSWER = "block long, part int, numbers binary, n_known long, often array<long>"
+_ANSWER = "block long, part int, numbers binary, n_known long, often array<struct<code: long, number: long>>"
 
 
 def add_dictionaries(blocks: DataFrame, parts: int, rules: ModelRules) -> DataFrame:
-    """Of every block and part of all hashes: numbers, training counts and counts of the block's words in that part.
+    """Of every block and part of all hashes: places, numbers, training counts and other counts of the block's words in that part.
 
-    ``n_known`` adds up to the words with training counts; ``often`` has the hashes of those to be split.
+    ``n_known`` adds up to the words with training counts; ``often`` has the hashes and numbers of those to be split.
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
             for block, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                codes, trained, total = unpack(words)
+                codes, trained, other = unpack(words)
+                codes = np.cumsum(codes)
                 part = _mix(codes) % parts
                 for k in np.unique(part).tolist():
-                    mine = part == k
-                    row = pack(codes[mine], trained[mine], total[mine])
+                    mine = np.flatnonzero(part == k)
+                    row = pack(np.diff(codes[mine], prepend=0), trained[mine], other[mine], np.diff(mine, prepend=0))
                     yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([block], pa.int64()), pa.array([row], pa.binary())], names=["part", "block", "words"])
 
     def add(table: pa.Table) -> pa.Table:
         part, blocks_in = table.column(0)[0].as_py(), table.column(1).to_pylist()
         found = [unpack(w) for w in table.column(2).to_pylist()]
-        codes = np.concatenate([f[0] for f in found])
+        codes = np.concatenate([np.cumsum(f[0]) for f in found])
         all_codes, place = np.unique(codes, return_inverse=True)
-        trained, total = (np.zeros(len(all_codes), dtype=np.int64) for _ in range(2))
+        trained, other = (np.zeros(len(all_codes), dtype=np.int64) for _ in range(2))
         np.add.at(trained, place, np.concatenate([f[1] for f in found]))
-        np.add.at(total, place, np.concatenate([f[2] for f in found]))
-        often = all_codes[total > rules.shard_positions].tolist()
+        np.add.at(other, place, np.concatenate([f[2] for f in found]))
+        often = [{"code": int(all_codes[i]), "number": i * parts + part + 1} for i in np.flatnonzero(trained + other > rules.shard_positions).tolist()]
         ends = np.cumsum([len(f[0]) for f in found])
         rows = []
         for i, own in enumerate(np.split(place, ends[:-1])):
-            rows.append({"block": blocks_in[i], "part": part, "numbers": pack(np.diff(own * parts + part + 1, prepend=0), trained[own], total[own]),
-                         "n_known": 0 if i else int((trained > 0).sum()), "often": [] if i else often})
-        return pa.Table.from_pylist(rows, schema=pa.schema([("block", pa.int64()), ("part", pa.int32()), ("numbers", pa.binary()), ("n_known", pa.int64()), ("often", pa.list_(pa.int64()))]))
+            numbers = pack(found[i][3], np.diff(own * parts + part + 1, prepend=0), trained[own], other[own])
+            rows.append({"block": blocks_in[i], "part": part, "numbers": numbers, "n_known": 0 if i else int((trained > 0).sum()), "often": [] if i else often})
+        pair = pa.struct([("code", pa.int64()), ("number", pa.int64())])
+        return pa.Table.from_pylist(rows, schema=pa.schema([("block", pa.int64()), ("part", pa.int32()), ("numbers", pa.binary()), ("n_known", pa.int64()), ("often", pa.list_(pair))]))
 
     dealt = blocks.select("block", "words").mapInArrow(deal, "part int, block long, words binary")
     return dealt.groupBy("part").applyInArrow(add, _ANSWER)
@@ -185,9 +187,9 @@ def add_dictionaries(blocks: DataFrame, parts: int, rules: ModelRules) -> DataFr
 
 def _contexts(lengths: np.ndarray, skips: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, ...]:
     """(last, middle, first, piece) of every counted position; words count from 1, 0 stands before the first word."""
-    owner = np.repeat(np.arange(len(lengths)), lengths)
+    owner = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
     offset = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    word = flat + 1
+    word = flat.astype(np.int32) + 1
     middle, first = np.zeros_like(word), np.zeros_like(word)
     middle[1:], first[2:] = word[:-1], word[:-2]
     middle[offset < 1], first[offset < 2] = 0, 0
@@ -195,8 +197,8 @@ def _contexts(lengths: np.ndarray, skips: np.ndarray, flat: np.ndarray) -> tuple
     return word[keep], middle[keep], first[keep], owner[keep]
 
 
-def often_runs(blocks: DataFrame, often: list[int], rules: ModelRules) -> dict[tuple[int, ...], tuple[int, int]]:
-    """(training count, count) by hashes of the pairs (last, middle) and runs (last, middle, first) to be split; 0 stands before a text.
+def often_runs(blocks: DataFrame, often: dict[int, int], rules: ModelRules) -> dict[tuple[int, ...], tuple[int, int]]:
+    """(training count, count) by the numbers of the pairs (last, middle) and runs (last, middle, first) to be split; 0 stands before a text.
 
     Each of their words is one to be split, so only runs of such words are counted, per block first.
     """
@@ -208,11 +210,11 @@ def often_runs(blocks: DataFrame, often: list[int], rules: ModelRules) -> dict[t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
             for body, words, held in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                codes = unpack(words)[0]
+                codes = np.cumsum(unpack(words)[0])
                 at = np.minimum(np.searchsorted(order, codes), len(order) - 1)
                 # 1: before the first word; 0: another word.
                 rank = np.concatenate([[1], np.where(order[at] == codes, at + 2, 0)])
-                last, middle, first, owner = _contexts(*unpack(body))
+                last, middle, first, owner = _contexts(*unpack(body)[:3])
                 last, middle, first = rank[last], rank[middle], rank[first]
                 trained = ~np.array(held, dtype=bool)[owner]
                 both = (last > 1) & (middle > 0)
@@ -223,11 +225,11 @@ def often_runs(blocks: DataFrame, often: list[int], rules: ModelRules) -> dict[t
 
     counted = blocks.select("body", "words", "held").mapInArrow(run, "run long, trained long, n long")
     totals = counted.groupBy("run").agg(F.sum("trained").alias("trained"), F.sum("n").alias("n")).where(F.col("n") > rules.shard_positions).collect()
-    code = lambda rank: 0 if rank == 1 else int(order[rank - 2])
+    number = lambda rank: 0 if rank == 1 else often[int(order[rank - 2])]
     out = {}
     for row in totals:
         ranks = row.run // wide // wide, row.run // wide % wide, row.run % wide
-        out[tuple(code(r) for r in (ranks if ranks[2] else ranks[:2]))] = (row.trained, row.n)
+        out[tuple(number(r) for r in (ranks if ranks[2] else ranks[:2]))] = (row.trained, row.n)
     return out
 
 
@@ -262,17 +264,21 @@ def route(met: DataFrame, totals: Totals, split: dict, rules: ModelRules) -> Dat
 
 
 def _routed(block: dict, totals: Totals, split: dict, rules: ModelRules) -> Iterator[dict]:
-    codes = unpack(block["words"])[0]
-    end = np.flatnonzero(codes == code_of(_END)) + 1
-    number, trained, total = (np.zeros(len(codes) + 1, dtype=np.int64) for _ in range(3))
+    answers = [unpack(a["numbers"]) for a in block["answers"]]
+    size = sum(len(a[0]) for a in answers)
+    number, trained, total = (np.zeros(size + 1, dtype=np.int64) for _ in range(3))
     trained[0] = totals.texts
-    own_part = _mix(codes) % totals.parts
-    for answer in block["answers"]:
-        mine = np.flatnonzero(own_part == answer["part"]) + 1
-        steps_, trained[mine], total[mine] = unpack(answer["numbers"])
-        number[mine] = np.cumsum(steps_)
-    lengths, skips, flat = unpack(block["body"])
+    for places, numbers, own_trained, own_other in answers:
+        mine = np.cumsum(places) + 1
+        number[mine], trained[mine], total[mine] = np.cumsum(numbers), own_trained, own_trained + own_other
+    # From here on words are places in the order of their numbers.
+    order = np.argsort(number)
+    rank = np.empty(size + 1, dtype=np.int32)
+    rank[order] = np.arange(size + 1)
+    number, trained, total = number[order], trained[order], total[order]
+    lengths, skips, flat, end = unpack(block["body"])
     last, middle, first, owner = _contexts(lengths, skips, flat)
+    last, middle, first, end = rank[last], rank[middle], rank[first], rank[end + 1]
     n = len(lengths)
     own = np.log10((trained + 1) / (totals.tokens + totals.known + 1))
     yield {
@@ -281,26 +287,25 @@ def _routed(block: dict, totals: Totals, split: dict, rules: ModelRules) -> Iter
         "base": np.bincount(owner, own[last], minlength=n).tolist(),
     }
     # The piece of the word that a position belongs to, by what stands before it.
-    piece = np.zeros(len(last), dtype=np.int64)
-    size = rules.shard_positions
-    big = total[last] > size
-    piece[big] = 1 + _mix(number[middle[big]]) % (total[last[big]] // size + 1)
-    if split:
-        at = {int(c): i + 1 for i, c in enumerate(codes.tolist())} | {0: 0}
-        for key, (_, count) in sorted(split.items(), key=lambda s: len(s[0])):
-            local = [at.get(c) for c in key]
-            if None in local:
-                continue
-            same = (last == local[0]) & (middle == local[1])
-            if len(local) == 3:
-                same &= first == local[2]
-            which = _mix(number[first[same]]) if len(local) == 2 else _mix(np.full(int(same.sum()), block["block"]))
-            piece[same] = (1 << 20) * len(local) + which % (count // size + 1)
-    shard = (_mix(_mix(number[last]) ^ piece) % totals.shards).astype(np.int32)
-    key = ((last << 21) | middle) << 21 | first
+    shard = _mix(number)[last]
+    big = total[last] > rules.shard_positions
+    shard[big] ^= 1 + _mix(number[middle[big]]) % (total[last[big]] // rules.shard_positions + 1)
+    for key, (_, count) in sorted(split.items(), key=lambda s: len(s[0])):
+        local = np.minimum(np.searchsorted(number, key), size)
+        if (number[local] != key).any():
+            continue
+        same = (last == local[0]) & (middle == local[1])
+        if len(key) == 3:
+            same &= first == local[2]
+        which = _mix(number[first[same]]) if len(key) == 2 else _mix(np.full(int(same.sum()), block["block"]))
+        shard[same] = _mix(number[local[:1]])[0] ^ ((1 << 20) * len(key) + which % (count // rules.shard_positions + 1))
+    shard = (_mix(shard) % totals.shards).astype(np.int16 if totals.shards < 1 << 15 else np.int32)
+    key = ((last.astype(np.int64) << 21) | middle) << 21 | first
+    del last, middle, first
     order = np.argsort(key, kind="stable")
     order = order[np.argsort(shard[order], kind="stable")]
     key, shard, owner = key[order], shard[order], owner[order]
+    del order
     in_training = ~np.array(block["held"], dtype=bool)
     # Entries: a run in a piece of text, with how often; runs: with all their entries.
     fresh_run = np.concatenate([[True], (np.diff(key) != 0) | (np.diff(shard) != 0)])
@@ -311,25 +316,21 @@ def _routed(block: dict, totals: Totals, split: dict, rules: ModelRules) -> Iter
     entries = np.diff(run_at, append=len(entry_at))
     key, shard = key[entry_at[run_at]], shard[entry_at[run_at]]
     seen = np.add.reduceat(times * in_training[owner], run_at)
-    mask = (1 << 21) - 1
+    mask, place = (1 << 21) - 1, np.zeros(size + 1, dtype=np.int64)
     starts = np.flatnonzero(np.concatenate([[True], np.diff(shard) != 0]))
     for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(shard)], strict=True):
-        words = [(key[a:b] >> 42) & mask, (key[a:b] >> 21) & mask, key[a:b] & mask]
-        used = np.unique(np.concatenate(words))
-        used = used[np.argsort(number[used])]
-        place = np.zeros(len(number), dtype=np.int64)
+        w, v, u = (key[a:b] >> 42) & mask, (key[a:b] >> 21) & mask, key[a:b] & mask
+        counted = np.zeros(size + 1, dtype=bool)
+        counted[w] = counted[v] = True
+        used = counted.copy()
+        used[u] = True
+        used = np.flatnonzero(used)
         place[used] = np.arange(len(used))
-        w, v, u = (place[x] for x in words)
-        by = np.lexsort((u, v, w))
-        first_entry, last_entry = run_at[a], run_at[b] if b < len(run_at) else len(owner)
-        count = entries[a:b][by]
-        # The entries of the runs in their new order.
-        begin = (run_at[a:b] - first_entry)[by]
-        pick_ = np.repeat(begin - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(int(count.sum()))
-        own_owner, own_times = owner[first_entry:last_entry][pick_], times[first_entry:last_entry][pick_]
+        mine = slice(run_at[a], run_at[b] if b < len(run_at) else len(owner))
+        # Counts are asked of the last two words only.
         packed = pack(
-            np.diff(number[used], prepend=0), trained[used], codes[used[used > 0] - 1] if split else np.zeros(0, dtype=np.int64),
-            np.diff(w[by], prepend=0), np.diff(v[by], prepend=0), u[by], seen[a:b][by], count, own_owner, own_times, number[np.intersect1d(used, end)],
+            np.diff(number[used], prepend=0), trained[used] * counted[used], np.diff(place[w], prepend=0), np.diff(place[v], prepend=0), place[u],
+            seen[a:b], entries[a:b], owner[mine], times[mine], number[end],
         )
         yield {"shard": int(shard[a]), "block": block["block"], "positions": packed}
 
@@ -344,11 +345,11 @@ def score_shards(routed: DataFrame, totals: Totals, split: dict, rules: ModelRul
     def score(table: pa.Table) -> pa.Table:
         if table.column("shard")[0].as_py() < 0:
             return table.drop_columns(["shard"]).rename_columns(["block", "owners", *table.column_names[3:]])
-        blocks, found = table.column("block").to_pylist(), [unpack(p) for p in table.column("positions").to_pylist()]
+        blocks, found = table.column("block").to_pylist(), [unpack(p, narrow=True) for p in table.column("positions").to_pylist()]
         rows = []
         values = _answers(found, totals, split, rules)
         for block, part, value in zip(blocks, found, values, strict=True):
-            count, owner, times = part[7:10]
+            count, owner, times = part[6:9]
             sums = np.bincount(owner, np.repeat(value, count) * times)  # integers below 2^53, so exact
             met = np.unique(owner)
             rows.append({"block": block, "owners": pack(np.diff(met, prepend=0), sums[met].astype(np.int64))})
@@ -360,46 +361,46 @@ def score_shards(routed: DataFrame, totals: Totals, split: dict, rules: ModelRul
 
 def _answers(found: list, totals: Totals, split: dict, rules: ModelRules) -> list[np.ndarray]:
     """The value of every run of every block, from a trie of the training runs among all of them."""
-    numbers = [np.cumsum(f[0]) for f in found]
-    words = [[num[np.cumsum(f[3])], num[np.cumsum(f[4])], num[f[5]]] for num, f in zip(numbers, found, strict=True)]
-    last, middle, first = (np.concatenate([w[i] for w in words]) for i in range(3))
-    all_numbers, at = np.unique(np.concatenate(numbers), return_index=True)
-    all_trained = np.concatenate([f[1] for f in found])[at]
-    last, middle, first = (np.searchsorted(all_numbers, x) for x in (last, middle, first))
+    numbers = [np.cumsum(f[0], dtype=np.int64) for f in found]
+    all_numbers, at = np.unique(np.concatenate(numbers), return_inverse=True)
+    all_trained = np.zeros(len(all_numbers), dtype=np.int64)
+    np.maximum.at(all_trained, at, np.concatenate([f[1] for f in found]))
+    places = np.split(at, np.cumsum([len(n) for n in numbers])[:-1])
+    last = np.concatenate([p[np.cumsum(f[2])] for p, f in zip(places, found, strict=True)])
+    middle = np.concatenate([p[np.cumsum(f[3])] for p, f in zip(places, found, strict=True)])
+    first = np.concatenate([p[f[4]] for p, f in zip(places, found, strict=True)])
     wide = len(all_numbers)
     pair_keys, pair_of = np.unique(last * wide + middle, return_inverse=True)
+    del last, middle
     run_keys, run_of = np.unique(pair_of * wide + first, return_inverse=True)
+    del pair_of, first
     run_pair, run_first = run_keys // wide, run_keys % wide
     pair_last, pair_middle = pair_keys // wide, pair_keys % wide
-    run_count = np.bincount(run_of, np.concatenate([f[6] for f in found]), minlength=len(run_keys)).astype(np.int64)
+    run_count = np.bincount(run_of, np.concatenate([f[5] for f in found]), minlength=len(run_keys)).astype(np.int64)
     pair_count = np.bincount(run_pair, run_count, minlength=len(pair_keys)).astype(np.int64)
-    if split:
-        codes = np.concatenate([np.concatenate([np.zeros(len(f[0]) - len(f[2]), dtype=np.int64), f[2]]) for f in found])[at]
-        place = {int(c): i for i, c in enumerate(codes.tolist())}
-        for key, (trained, _) in sorted(split.items(), key=lambda s: len(s[0])):
-            local = [place.get(c) for c in key]
-            if None in local:
-                continue
-            pair = np.searchsorted(pair_keys, local[0] * wide + local[1])
-            if pair == len(pair_keys) or pair_keys[pair] != local[0] * wide + local[1]:
-                continue
-            if len(local) == 2:
-                pair_count[pair] = trained
-            else:
-                run = np.searchsorted(run_keys, pair * wide + local[2])
-                if run < len(run_keys) and run_keys[run] == pair * wide + local[2]:
-                    run_count[run] = trained
+    for key, (trained, _) in sorted(split.items(), key=lambda s: len(s[0])):
+        local = np.minimum(np.searchsorted(all_numbers, key), wide - 1)
+        if (all_numbers[local] != key).any():
+            continue
+        pair_key = local[0] * wide + local[1]
+        pair = min(int(np.searchsorted(pair_keys, pair_key)), len(pair_keys) - 1)
+        run_key = pair * wide + local[-1]
+        run = min(int(np.searchsorted(run_keys, run_key)), len(run_keys) - 1)
+        if len(key) == 2 and pair_keys[pair] == pair_key:
+            pair_count[pair] = trained
+        elif len(key) == 3 and pair_keys[pair] == pair_key and run_keys[run] == run_key:
+            run_count[run] = trained
     trie = _trie(all_numbers, all_trained, (pair_last, pair_middle, pair_count), (run_pair, run_first, run_count), totals, rules)
-    word, pair, run = trie.find(all_numbers[pair_last[run_pair]], all_numbers[pair_middle[run_pair]], all_numbers[run_first])
+    word, pair = trie.find_pairs(all_numbers, pair_last, pair_middle)
+    run = trie.find_runs(all_numbers, word[run_pair], pair[run_pair], run_first)
     unknown = steps(1 / (totals.tokens + totals.known + 1))
     code = {name: np.concatenate([v.astype(np.int64), [0]]) for name, v in trie.values.items()}
     of_word = np.where(word >= 0, code["word_code"][word], unknown)
-    of_pair = np.where(pair >= 0, code["pair_code"][pair], of_word + steps(rules.pair_prior) - steps(all_trained[pair_middle[run_pair]] + rules.pair_prior))
-    value = np.where(run >= 0, code["run_code"][run], of_pair + steps(rules.run_prior))
+    of_pair = np.where(pair >= 0, code["pair_code"][pair], of_word + steps(rules.pair_prior) - steps(all_trained + rules.pair_prior)[pair_middle])
     norm = np.where(pair >= 0, code["pair_norm"][pair], -steps(rules.run_prior))
-    is_end = np.isin(all_numbers[pair_last[run_pair]], np.concatenate([f[10] for f in found]))
-    value = value + np.where(is_end, 0, norm)  # nothing follows an end
-    return np.split(value[run_of], np.cumsum([len(f[6]) for f in found])[:-1])
+    norm[np.isin(all_numbers[pair_last], np.concatenate([f[9] for f in found]))] = 0  # nothing follows an end
+    value = np.where(run >= 0, code["run_code"][run], (of_pair + steps(rules.run_prior))[run_pair]) + norm[run_pair]
+    return np.split(value[run_of], np.cumsum([len(f[5]) for f in found])[:-1])
 
 
 def _trie(numbers: np.ndarray, trained: np.ndarray, pairs: tuple, runs: tuple, totals: Totals, rules: ModelRules) -> TrigramTrie:
@@ -465,11 +466,11 @@ def score_texts(docs: DataFrame, rules: ModelRules = ModelRules(), id_col: str =
     add_dictionaries(blocks, parts, rules).write.parquet(answer_path)
     answers = spark.read.parquet(answer_path)
     known = answers.agg(F.coalesce(F.sum("n_known"), F.lit(0)).alias("n")).first().n
-    often = [row.code for row in answers.select(F.explode("often").alias("code")).collect()]
+    often = {row.code: row.number for row in answers.select(F.inline("often")).collect()}
     split = often_runs(blocks, often, rules)
-    totals = Totals(sums.n_trained, known, sums.n_trained_texts, 2 * sums.n_all // rules.shard_positions + 1, parts)
+    totals = Totals(sums.n_trained, known, sums.n_trained_texts, 5 * sums.n_all // (4 * rules.shard_positions) + 1, parts)
     whole = answers.groupBy("block").agg(F.collect_list(F.struct("part", "numbers")).alias("answers"))
-    met = blocks.select("block", "rows", "ids", "held", "body", "words").join(whole, "block")
+    met = blocks.select("block", "rows", "ids", "held", "body").join(whole, "block")
     by_text = _by_text(score_shards(route(met, totals, split, rules), totals, split, rules), kind)
     # The first word of each text has its empty context's denominator once.
     units = F.col("units") - F.lit(int(steps(totals.texts + rules.run_prior)))
