@@ -1,9 +1,15 @@
+import random
+
 import numpy as np
 import pytest
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from weirworks.operators import charts, clusters, features, regression, tuning
+from weirworks.operators import charts, clusters, features, nested, parzen, regression, tuning
 from weirworks.operators.ensembles import AdaBoostR2, StackingRegressor, VotingRegressor
+from weirworks.operators.forests import forest
+from weirworks.session import fit_input
 from weirworks.sources import sinks
 
 FEATURES = ["a", "b", "c"]
@@ -126,16 +132,75 @@ def test_comparison_keeps_failing_models(data):
     assert not found["unknown"].best
 
 
-def test_grids():
+def test_cut_forests_predict_like_smaller_ones(spark, data):
+    assembled = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(data)
+    values = np.array(data.orderBy("id").select(*FEATURES).collect())
+    predicted = lambda model: [r.prediction for r in model.transform(assembled).orderBy("id").collect()]
+    for leaf in (1, 3):
+        grown = forest("y", 12, None, 7, min_leaf=leaf).fit(assembled)
+        path = nested.stored_nodes(grown, spark)
+        nodes = nested.Nodes(spark, path)
+        for depth in (1, 4, 9):
+            refitted = forest("y", 12, depth, 7, min_leaf=leaf).fit(assembled)
+            assert np.allclose(nodes.predict(values, [nested.Cut(12, depth)])[0], predicted(refitted))
+        whole = nodes.predict(values, [nested.Cut(12, 30), nested.Cut(5, 30)])
+        assert np.allclose(whole[0], predicted(grown))
+        assert np.allclose(whole[1], np.mean([[t.predict(Vectors.dense(v)) for t in grown.trees[:5]] for v in values], axis=1))
+        assert np.allclose(nested.Nodes(spark, path, 5).predict(values, [nested.Cut(5, 30)])[0], whole[1])
+    table = nested.node_table(spark, path)
+    assert table.count() == grown.totalNumNodes and table.where("parent IS NULL").count() == 12
+    # A smallest split ends every walk at the first node with fewer rows.
+    by = {(r.tree, r.node): r for r in table.collect()}
+
+    def walk(tree, v, split):
+        node = by[tree, 0]
+        while node.feature is not None and node.rows >= split:
+            node = by[tree, node.left if v[node.feature] <= node.border else node.right]
+        return node.prediction
+
+    cut = nodes.predict(values[:40], [nested.Cut(12, 30, 25)])[0]
+    assert np.allclose(cut, [np.mean([walk(t, v, 25) for t in range(12)]) for v in values[:40]])
+
+
+def test_search_scores_every_point(data):
     assert len(tuning.grid_points()) == 108
-    assert len(tuning._spark_points(tuning.grid_points())) == 27  # split size dropped, no limit means depth 30
+    grid = {"n_estimators": (2, 4), "max_depth": (None, 2), "min_samples_split": (2, 60), "min_samples_leaf": (1, 5)}
+    found = tuning.grid_search(data, "id", FEATURES, "y", grid, folds=2)
+    assert len(found) == 16 and len({tuple(sorted(r["params"].items(), key=str)) for r in found}) == 16
+    assert [r["mean_score"] for r in found] == sorted((r["mean_score"] for r in found), reverse=True)
+    # The full forest of a leaf size, fitted and scored the plain way.
+    (deep,) = [r for r in found if r["params"] == {"n_estimators": 4, "max_depth": None, "min_samples_split": 2, "min_samples_leaf": 1}]
+    with fit_input(tuning._prepared(data, "id", FEATURES, "y", 2, 42), "id") as kept:
+        rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(kept)
+        plain = []
+        for fold in (0, 1):
+            model = forest("y", 4, None, 42).fit(rows.filter(F.col("fold") != fold))
+            plain.append(regression.regression_metrics(model.transform(rows.filter(F.col("fold") == fold)), "y", "prediction").first().r2)
+    assert deep["mean_score"] == pytest.approx(np.mean(plain)) and deep["std_score"] == pytest.approx(np.std(plain))
+    table = tuning.search_table(data, found)
+    assert table.count() == 16 and "min_samples_split" in table.columns
+
+
+def test_parzen_search_beats_even_draws():
+    ranges = {"a": (0, 60), "b": (0, 60), "c": (1, 9)}
+    loss = lambda p: (p["a"] - 44) ** 2 + 2 * (p["b"] - 13) ** 2 + 30 * abs(p["c"] - 4)
+    ours, even = [], []
+    for seed in range(12):
+        trials = parzen.minimise(lambda points: [loss(p) for p in points], ranges, calls=50, seed=seed)
+        assert len(trials) == 50 and all(lo <= p[n] <= hi for p, _ in trials for n, (lo, hi) in ranges.items())
+        rng = random.Random(seed + 100)
+        ours.append(min(score for _, score in trials))
+        even.append(min(loss({n: rng.randint(*r) for n, r in ranges.items()}) for _ in range(50)))
+    assert np.median(ours) < 0.6 * np.median(even)
+    few = parzen.minimise(lambda points: [p["a"] for p in points], {"a": (0, 3)}, calls=50)
+    assert sorted(p["a"] for p, _ in few) == [0, 1, 2, 3]
 
 
 def test_adaptive_search_scores_new_points_only(data):
     ranges = {"n_estimators": (2, 4), "max_depth": (2, 4), "min_samples_split": (2, 3), "min_samples_leaf": (1, 2)}
-    found = tuning.adaptive_search(data, "id", FEATURES, "y", ranges, calls=4, rounds=2, folds=2)
+    found = tuning.adaptive_search(data, "id", FEATURES, "y", ranges, calls=6, first=3, folds=2)
     marks = [tuple(sorted(r["params"].items())) for r in found]
-    assert len(marks) == len(set(marks)) and found[0]["mean_score"] == min(r["mean_score"] for r in found)
+    assert len(marks) == len(set(marks)) == 6 and found[0]["mean_score"] == min(r["mean_score"] for r in found)
 
 
 def test_param_rules(spark):

@@ -386,7 +386,7 @@ def _(spark, sf_dir):
 
 @query("cross_validate")
 def _(spark, sf_dir):
-    estimator = tuning.forest_of({"n_estimators": TREES, "max_depth": 5}, SITE_TARGET)
+    estimator = tuning.forest_of({"n_estimators": TREES}, SITE_TARGET)
     return tuning.cross_validate(site_rows(spark, sf_dir), "site_id", SITE_FEATURES, SITE_TARGET, estimator)
 
 

@@ -4,18 +4,20 @@ from __future__ import annotations
 
 from pyspark.ml.regression import RandomForestRegressor
 
-#: Depth of a forest's trees unless asked otherwise. Spark grows trees level by level, with a pass over the rows for each
-#: level, up to 30; deeper levels cost much and change averaged trees little.
-FOREST_DEPTH = 10
+#: The deepest trees that Spark grows; "no depth limit" means this.
 MAX_DEPTH = 30
 
 
 def forest(
-    target: str, trees: int = 100, depth: int | None = FOREST_DEPTH, seed: int = 42, features: str = "features", min_leaf: int = 1
+    target: str, trees: int = 100, depth: int | None = None, seed: int = 42, features: str = "features", min_leaf: int = 1
 ) -> RandomForestRegressor:
-    """A random forest; a depth of None is the deepest that Spark grows, a larger one than that is an error."""
+    """A random forest whose nodes may split by every feature; without a depth, trees grow as deep as Spark lets them.
+
+    Rows keep the number of their node between levels, so deep trees do not travel with the tasks.
+    """
     if depth is not None and depth > MAX_DEPTH:
         raise ValueError(f"Spark grows trees to depth {MAX_DEPTH}, not {depth}")
     return RandomForestRegressor(
-        labelCol=target, featuresCol=features, numTrees=trees, maxDepth=depth or MAX_DEPTH, minInstancesPerNode=min_leaf, seed=seed
+        labelCol=target, featuresCol=features, numTrees=trees, maxDepth=depth or MAX_DEPTH, minInstancesPerNode=min_leaf, seed=seed,
+        featureSubsetStrategy="all", cacheNodeIds=True, maxMemoryInMB=1024,
     )

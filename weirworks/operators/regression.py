@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from weirworks.functions.columns import all_present, quoted
 from weirworks.operators.ensembles import AdaBoostR2
-from weirworks.operators.forests import FOREST_DEPTH, MAX_DEPTH, forest
+from weirworks.operators.forests import MAX_DEPTH, forest
 from weirworks.operators.rules import require_input
-from weirworks.session import fit_input
+from weirworks.session import ROWS_PER_TASK, fit_input
 
 # The regressors of a comparison, in their usual order.
 MODEL_NAMES = (
@@ -96,7 +96,7 @@ class RidgeRegression(Estimator):
         ).fit(dataset)
 
 
-def make_regressor(name: str, target: str, trees: int = 100, seed: int = 42, max_depth: int | None = FOREST_DEPTH) -> Estimator:
+def make_regressor(name: str, target: str, trees: int = 100, seed: int = 42, max_depth: int | None = None) -> Estimator:
     """One regressor of the comparison by name."""
     common = {"labelCol": target, "featuresCol": "features"}
     if name == "random_forest":
@@ -210,11 +210,15 @@ def train_regressor(
     train_share: float = 0.8,
     seed: int = 42,
     min_rows: int = 10,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> tuple[PipelineModel, DataFrame]:
-    """Fit on the training part and measure on the rest; (model, metrics)."""
+    """Fit on the training part and measure on the rest; (model, metrics).
+
+    Forests bag by task, so a model depends on ``rows_per_task``, but not on the cluster.
+    """
     complete = require_input(df, [*features, target], min_rows, drop_incomplete=False)
     marked = mark_split(complete.select(quoted(key), *map(quoted, [*features, target])), key, train_share, seed)
-    with fit_input(marked.filter("is_train"), key) as training:
+    with fit_input(marked.filter("is_train"), key, rows_per_task) as training:
         fitted = scaled_pipeline(features, make_regressor(model, target, trees, seed)).fit(training)
     held_out = fitted.transform(marked.filter(~F.col("is_train")))
     return fitted, regression_metrics(held_out, target, "prediction")

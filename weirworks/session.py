@@ -81,8 +81,12 @@ def reused(df: DataFrame) -> Iterator[DataFrame]:
         kept.unpersist()
 
 
+#: Rows of a task of an iterative fit, unless the caller says otherwise.
+ROWS_PER_TASK = 20_000
+
+
 @contextmanager
-def fit_input(df: DataFrame, key: str, rows_per_task: int = 20_000) -> Iterator[DataFrame]:
+def fit_input(df: DataFrame, key: str, rows_per_task: int = ROWS_PER_TASK) -> Iterator[DataFrame]:
     """A kept frame for iterative fits, in one partition for each ``rows_per_task`` rows whatever the cluster.
 
     Forests bag by partition, so rows are spread by a hash of the whole row and sorted: a model depends on the rows and on
