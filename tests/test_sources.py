@@ -1,5 +1,9 @@
 """CSV files as people write them, shared folders, and counts beyond the top k."""
 
+import csv
+import gzip
+import random
+
 import pytest
 from pyspark.sql import types as T
 
@@ -51,6 +55,45 @@ def test_split_scan_has_more_tasks_and_the_same_rows(spark, tmp_path):
     assert rows(split) == rows(tables.scan_csv(spark, path, SCHEMA))
 
 
+def test_every_file_has_its_own_header(spark, tmp_path):
+    (tmp_path / "one.csv").write_text("a,b\nx,1\n")
+    (tmp_path / "two.csv").write_text("b,a,more\n2,y,q\n3,z\n")
+    (tmp_path / "_SUCCESS").write_text("")
+    with gzip.open(tmp_path / "three.csv.gz", "wt") as file:
+        file.write("b,a\n4,w\n")
+    for multi_line in (False, True):
+        assert rows(tables.scan_csv(spark, str(tmp_path), SCHEMA, broken="drop", multi_line=multi_line)) == [("w", 4), ("x", 1), ("y", 2)]
+        assert rows(tables.broken_rows(spark, str(tmp_path), multi_line)) == [("3,z",)]
+        with pytest.raises(ValueError, match="absent"):
+            tables.scan_csv(spark, str(tmp_path), T.StructType([*SCHEMA, T.StructField("more", T.StringType())]), multi_line=multi_line)
+    with pytest.raises(FileNotFoundError):
+        tables.scan_csv(spark, str(tmp_path / "nothing*"), SCHEMA)
+
+
+def test_quoted_line_breaks_in_many_blocks(spark, tmp_path):
+    rng = random.Random(5)
+
+    def cell(i):
+        kind = rng.random()
+        if kind < 0.3:
+            return f"plain {i}"
+        if kind < 0.9:
+            return "\n".join(rng.choice(['say ""hi""', "x,y", "", "1,2", '""', "\r"]) for _ in range(rng.randint(1, 9)))
+        return "long\n" * rng.randint(50, 900)  # longer than a block
+
+    text = "a,b\n" + "".join(f'"{cell(i)}",{i}\n' for i in range(1500)) + "last,-1"
+    path = tmp_path / "t.csv"
+    path.write_text(text, newline="")
+    split = tables.scan_split(spark, str(path), SCHEMA, block_bytes=2048, strings=(), multi_line=True)
+    with open(path, newline="") as file:
+        wanted = sorted((a, int(b)) for a, b in list(csv.reader(file))[1:])
+    assert len(wanted) == 1501 and split.rdd.getNumPartitions() > 8
+    assert sorted((r.a or "", r.b) for r in split.collect()) == wanted
+    crlf = tmp_path / "w.csv"
+    crlf.write_text('a,b\r\n"x\r\ny",1\r\nz,2\r\n', newline="")
+    assert rows(tables.scan_csv(spark, str(crlf), SCHEMA, multi_line=True)) == [("x\r\ny", 1), ("z", 2)]
+
+
 def test_counts_of_values_beyond_the_other_top(spark):
     before = spark.createDataFrame([(v,) for v in "aaaabbbccd"], "v string")
     after = spark.createDataFrame([(v,) for v in "abccccddd"] + [(None,)], "v string")

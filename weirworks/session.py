@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +46,23 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Give the executors this package, once for each application, for the jobs that run Python on them."""
+    application = spark.sparkContext.applicationId
+    if application in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="weirworks-code-")) / "weirworks_core.zip"
+    with zipfile.ZipFile(target, "w") as archive:
+        for path in sorted(package.rglob("*.py")):
+            archive.write(path, str(path.relative_to(package.parent)))
+    spark.sparkContext.addPyFile(str(target))
+    _SHIPPED.add(application)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a scratch table that no frame reads any more, on whatever file system it lies."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

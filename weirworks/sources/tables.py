@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weirworks.functions.columns import DEFAULT_MISSING, SENTINELS, is_numeric, quoted, text_names, to_number
+from weirworks.sources.csv_files import by_header, quoted_rows
 
 BROKEN = "_broken_row"
 MISSING_STRINGS = tuple(dict.fromkeys([*SENTINELS, *DEFAULT_MISSING]))
@@ -42,37 +44,46 @@ def scan_csv(
 ) -> DataFrame:
     """Read a CSV with a header: text scan, listed strings to missing, then one cast per column.
 
-    Columns are found by the name in the header, in whatever order the file has them. ``columns`` prunes the result; every
+    Columns are found by the name in the header, in whatever order each file has them; every file must have the wanted ones. ``columns`` prunes the result; every
     required column must be among them. ``broken`` says what happens to rows with more or fewer fields than the header:
     "fail" ends the job that meets one, "drop" leaves them out, "keep" takes the fields that are there. The first two have to
     parse all columns of the file, "keep" only those that are asked for. ``broken_rows`` lists such rows.
-    ``multi_line`` allows line breaks within quotes; such a file cannot be split between tasks.
+    ``multi_line`` allows line breaks within quotes; such files are read in blocks too, at the price of a pass that counts quotes.
     """
     if broken not in ("fail", "drop", "keep"):
         raise ValueError(f"unknown choice for broken rows: {broken}")
     absent = set(required) - set(schema.names if columns is None else columns)
     if absent:
         raise ValueError(f"required columns must be selected: {sorted(absent)}")
-    raw = _text_scan(spark, path, multi_line, broken != "keep")
-    missing = [n for n in (schema.names if columns is None else columns) if n not in raw.columns]
-    if missing:
-        raise ValueError(f"columns absent from the header: {missing}")
     wanted = schema.names if columns is None else list(columns)
-    if broken == "drop":
-        raw = raw.filter(~_is_broken(raw))
-    elif broken == "fail":
-        message = F.concat(F.lit("a row with the wrong number of fields: "), quoted(BROKEN))
-        raw = raw.filter(F.when(_is_broken(raw), F.raise_error(message).cast("boolean")).otherwise(True))
-    blanked = blank_sentinels(raw.select(*map(quoted, wanted)), strings)
+    parts = []
+    for raw in _text_scans(spark, path, multi_line, broken != "keep"):
+        missing = [n for n in wanted if n not in raw.columns]
+        if missing:
+            raise ValueError(f"columns absent from the header: {missing}")
+        if broken == "drop":
+            raw = raw.filter(~_is_broken(raw))
+        elif broken == "fail":
+            message = F.concat(F.lit("a row with the wrong number of fields: "), quoted(BROKEN))
+            raw = raw.filter(F.when(_is_broken(raw), F.raise_error(message).cast("boolean")).otherwise(True))
+        parts.append(raw.select(*map(quoted, wanted)))
+    blanked = blank_sentinels(reduce(DataFrame.unionAll, parts), strings)
     return blanked.select(*[_typed(n, schema[n].dataType) for n in wanted])
 
 
-def _text_scan(spark: SparkSession, path: str, multi_line: bool, watched: bool = True) -> DataFrame:
-    """All columns of the header as text and, if watched, the whole row where its fields do not fit the header."""
-    options = {"header": True, "escape": '"', "multiLine": multi_line}
-    names = spark.read.csv(path, inferSchema=False, **options).columns
-    text_schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, *[BROKEN] * watched]])
-    return spark.read.schema(text_schema).csv(path, columnNameOfCorruptRecord=BROKEN, mode="PERMISSIVE", **options)
+def _text_scans(spark: SparkSession, path: str, multi_line: bool, watched: bool = True) -> list[DataFrame]:
+    """One scan for each different header: its columns as text and, if watched, the whole row where its fields do not fit."""
+    scans = []
+    for names, files in by_header(spark, path):
+        text_schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, *[BROKEN] * watched]])
+        options = {"escape": '"', "columnNameOfCorruptRecord": BROKEN, "mode": "PERMISSIVE"}
+        if multi_line:
+            ddl = ", ".join(f"`{n.replace('`', '``')}` string" for n in text_schema.names)
+            parsed = quoted_rows(spark, files).select(F.from_csv("row", ddl, options).alias("r"))
+            scans.append(parsed.select("r.*"))
+        else:
+            scans.append(spark.read.schema(text_schema).csv(files, header=True, **options))
+    return scans
 
 
 def _is_broken(raw: DataFrame) -> Column:
@@ -83,8 +94,8 @@ def _is_broken(raw: DataFrame) -> Column:
 
 def broken_rows(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """(row): the rows whose number of fields is not that of the header."""
-    raw = _text_scan(spark, path, multi_line)
-    return raw.filter(_is_broken(raw)).select(quoted(BROKEN).alias("row"))
+    scans = _text_scans(spark, path, multi_line)
+    return reduce(DataFrame.unionAll, [raw.filter(_is_broken(raw)).select(quoted(BROKEN).alias("row")) for raw in scans])
 
 
 def scan_split(
