@@ -92,3 +92,13 @@ def test_exported_files_are_warc(spark, tmp_path):
     assert found == len(pages())
     warc.write_archive(docs.limit(0), str(tmp_path / "none"))
     assert warc.parsed(warc.read_archive(spark, str(tmp_path / "none"))).count() == 0
+
+
+def test_urls_cannot_start_header_fields(spark, tmp_path):
+    breaks = ["\r\n", "\n", "\r", "\x85", "\u2028", "\u2029", "\x0b", "\x0c", "\x1e"]
+    bad = [f"http://h/{b}WARC-Refers-To: <urn:weirworks:page:77>{b}WARC-Payload-Digest: sha1:0{b}WARC-Type: revisit{b}{b}x" for b in breaks]
+    docs = spark.createDataFrame([(i, url, "page " * 300 + str(i)) for i, url in enumerate(bad)], "page_id long, url string, html string")
+    warc.write_archive(docs, str(tmp_path / "a"))
+    rows = warc.parsed(warc.read_archive(spark, str(tmp_path / "a"))).collect()
+    assert sorted(r.page_id for r in rows) == list(range(len(bad)))
+    assert {(r.record_type, r.refers_to) for r in rows} == {("response", None)}

@@ -7,13 +7,15 @@ checks both digests and the declared length of each record.
 
 Definitions: a null payload is an empty one. Of records with equal payloads of at least ``min_bytes``, the one with the
 largest id is the response and the others are revisits of it; ids that tie are all responses. Smaller payloads are always
-responses. A null url becomes ``urn:weirworks:unknown``; line breaks in a url are percent-encoded, so that they cannot
-start a header. A record with a null id is kept, never refers to itself, and reads back with a null id. An empty table gives empty tables. Extra
+responses. A null url becomes ``urn:weirworks:unknown``; the line breaks of any reader (``BREAKS``) are percent-encoded in a
+url, so that they cannot start a header. A record with a null id is kept, never refers to itself, and reads back with a null id. An empty table gives empty tables. Extra
 columns are ignored.
 """
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +25,8 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 RECORD_ID = "urn:weirworks:page:"
 UNKNOWN_URL = "urn:weirworks:unknown"
 END = "\r\n\r\n"
+#: Characters that some reader takes for the end of a line.
+BREAKS = "\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029"
 
 
 def _field(name: str, *value: Column | str) -> Column:
@@ -56,7 +60,10 @@ def _keepers(rows: DataFrame) -> DataFrame:
 def header_of(page_id: Column, url: Column, n: Column, sha1: Column, keeper: Column, revisit: Column, date: str) -> Column:
     """The exact bytes of a record before its payload: WARC fields, an empty line, HTTP fields, an empty line."""
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"), _field("Content-Length", n.cast("string")), F.lit("\r\n"))
-    target = F.coalesce(F.replace(F.replace(url, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A")), F.lit(UNKNOWN_URL))
+    target = url
+    for char in BREAKS:
+        target = F.replace(target, F.lit(char), F.lit(quote(char)))
+    target = F.coalesce(target, F.lit(UNKNOWN_URL))
     length = F.octet_length(http) + F.when(revisit, F.lit(0)).otherwise(n)
     fields = F.concat(
         F.lit("WARC/1.1\r\n"),
@@ -107,10 +114,10 @@ def parsed(records: DataFrame) -> DataFrame:
     http = F.octet_length("header") - F.octet_length(head) - len(END)
 
     def value(name: str) -> Column:
-        return F.regexp_extract(head, rf"(?m)^{name}: ([^\r\n]*)", 1)
+        return F.regexp_extract(head, rf"(?md)^{name}: ([^\r\n]*)", 1)
 
-    kind, refers = value("WARC-Type"), F.regexp_extract(head, rf"(?m)^WARC-Refers-To: <{RECORD_ID}(-?\d+)>", 1)
-    own = F.regexp_extract(head, rf"(?m)^WARC-Record-ID: <{RECORD_ID}(-?\d+)>", 1)
+    kind, refers = value("WARC-Type"), F.regexp_extract(head, rf"(?md)^WARC-Refers-To: <{RECORD_ID}(-?\d+)>", 1)
+    own = F.regexp_extract(head, rf"(?md)^WARC-Record-ID: <{RECORD_ID}(-?\d+)>", 1)
     digest, size = F.sha1("payload"), F.octet_length("payload").cast("long")
     declared = value("Content-Length").cast("long")
     sound = (F.concat(F.lit("sha1:"), digest) == value("WARC-Payload-Digest")) & (
