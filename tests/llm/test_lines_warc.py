@@ -4,6 +4,8 @@ import hashlib
 import re
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from weirworks.llm import linededup, warc
 
 STRIP = " \t\n\x0b\x0c\r"
@@ -42,15 +44,34 @@ def test_lines_match_brute_force(spark):
     assert linededup.line_digest(docs.limit(0)).count() == 0
 
 
-def test_runs_are_merged_by_level_and_stay_sorted(spark, tmp_path):
+def test_batches_meet_runs_by_merging(spark, tmp_path):
     runs = linededup.LineRuns(spark, str(tmp_path / "runs"), fanout=2)
-    for batch in range(5):
-        runs.add(spark.createDataFrame([(bytes([k]), 10 * batch + k) for k in range(5)], "hash binary, doc_id long"))
-    assert {level: len(paths) for level, paths in runs.levels.items() if paths} == {0: 1, 2: 1}
-    (path,) = runs.levels[2]
-    assert {r.n_docs for r in spark.read.parquet(path).collect()} == {4}
-    assert {(bytes(r.hash)[0], r.keeper) for r in runs.frequent(5).collect()} == {(k, 40 + k) for k in range(5)}
-    assert runs.frequent(6).count() == 0
+    batches = [[(bytes([k]), 10 * batch + k) for k in range(batch, 5 + batch)] for batch in range(5)]
+    for batch in batches:
+        runs.add(spark.createDataFrame(batch, "hash binary, doc_id long"))
+    assert {level: len(names) for level, names in runs.levels.items() if names} == {0: 1, 2: 1}
+    # A key is new once: runs of new keys share none; all later sightings are updates.
+    held = [bytes(r.hash) for name in runs._names(runs.levels) for r in spark.table(name).collect()]
+    assert sorted(held) == [bytes([k]) for k in range(9)]
+    assert sum(r.n_docs for name in runs._names(runs.updates) for r in spark.table(name).collect()) == 25 - 9
+    want = {k: [10 * b + k for b in range(5) if b <= k < 5 + b] for k in range(9)}
+    for least in (1, 3, 5):
+        assert {(bytes(r.hash)[0], r.keeper) for r in runs.frequent(least).collect()} == {(k, max(v)) for k, v in want.items() if len(v) >= least}
+    # Neither side of an anti-join with a run is shuffled.
+    batch = spark.table(runs._write(linededup._merged(spark.createDataFrame([(b"x", 1, 1)], "hash binary, n_docs long, keeper long")).repartition(runs.buckets, "hash")))
+    plan = runs.new_keys(batch)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "LeftAnti" in plan and "Exchange" not in plan
+    runs.drop()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
+
+
+def test_a_text_of_many_lost_lines(spark):
+    lines = [f"a line of a log, number {i:06d}" for i in range(30_000)]
+    rows = [(i, "\n".join(lines)) for i in (1, 2, 3)] + [(4, "é" * 19), (5, "é" * 19), (6, "é" * 19), (7, "é" * 20), (8, "É" * 20), (9, "é" * 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, linededup.line_digest(docs).collect()), key=str) == brute_lines(rows)
+    clash = docs.select("doc_id", "text", F.lit(1).alias("_lost"), F.lit("h").alias("hashes"))
+    assert {r.doc_id: len(r.text) for r in linededup.dedup_lines(clash).collect()}[1] == 0
 
 
 def pages():
