@@ -6,7 +6,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from weirworks.operators import charts, clusters, features, nested, parzen, regression, tuning
+from weirworks.operators import charts, clusters, features, lloyd, nested, parzen, regression, tuning
 from weirworks.operators.ensembles import AdaBoostR2, StackingRegressor, VotingRegressor
 from weirworks.operators.forests import forest
 from weirworks.session import fit_input
@@ -308,3 +308,27 @@ def test_histogram_counts_every_kept_value(spark):
     assert table.count() == 30 and table.agg(F.sum("n")).first()[0] == 1000
     flat = charts.histogram(df.select(F.lit(4.0).alias("x")), "x", cap_percentile=None).filter("n > 0").first()
     assert flat.n == 1000 and flat.bin_low <= 4.0 <= flat.bin_high
+
+
+def test_batched_runs_are_single_runs(spark):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(c, 0.6, (80, 2)) for c in ([0, 0], [6, 1], [2, 7])])
+    x = np.concatenate([x, x[:40], x[:40]])  # equal rows count as often as they occur
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "p double, q double")
+    wanted = [(k, seed) for k in (1, 2, 3, 5) for seed in range(4)]
+    runs = lloyd.batched_kmeans(df.repartition(5), ["p", "q"], wanted)
+    again = lloyd.batched_kmeans(df.coalesce(1), ["p", "q"], wanted)
+    assert [(r.k, r.seed) for r in runs] == wanted and np.allclose([r.cost for r in runs], [r.cost for r in again])
+    started = lloyd.batched_kmeans(df, ["p", "q"], wanted, max_iter=0)
+    for run, start in zip(runs, started):
+        centres = start.centres
+        assert len(np.unique(centres, axis=0)) == run.k
+        for _ in range(run.passes):
+            near = ((x[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+            centres = np.array([x[near == j].mean(0) if (near == j).any() else centres[j] for j in range(run.k)])
+        assert np.allclose(centres, run.centres) and run.rests
+        assert run.cost == pytest.approx(((x[:, None] - centres[None]) ** 2).sum(2).min(1).sum())
+    assert min(r.cost for r in runs if r.k == 3) < 0.2 * min(r.cost for r in runs if r.k == 2)
+    assert [len(r.centres) for r in lloyd.batched_kmeans(df.limit(1), ["p", "q"], [(3, 1)])] == [3]
+    with pytest.raises(ValueError):
+        lloyd.batched_kmeans(df.limit(0), ["p", "q"], [(2, 1)])

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from multiprocessing.pool import ThreadPool
 from operator import add
 
 from pyspark.ml import Pipeline
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 
 from weirworks.functions.columns import quoted
 from weirworks.operators.features import assembled
+from weirworks.operators.lloyd import batched_kmeans
 from weirworks.operators.regression import PopulationScaler, standard_scale
 from weirworks.operators.rules import fill_median, flags_to_int
 from weirworks.operators.small import broadcast_if_small
@@ -44,20 +44,11 @@ def find_k(
     starts: int = 10,
     max_iter: int = 300,
     seed: int = 42,
-    parallelism: int = 4,
 ) -> tuple[int, list[tuple[int, float]]]:
-    """(chosen k, [(k, inertia)]): the best of ``starts`` runs per k, then the knee of the curve."""
-    with reused(assembled(standard_scale(df, features), features).select("features")) as data:
-        data.count()
-
-        def cost(task: tuple[int, int]) -> float:
-            k, start = task
-            return float(KMeans(k=k, seed=seed + start, maxIter=max_iter).fit(data).summary.trainingCost)
-
-        tasks = [(k, start) for k in range(k_min, k_max + 1) for start in range(starts)]
-        with ThreadPool(parallelism) as pool:
-            costs = dict(zip(tasks, pool.map(cost, tasks)))
-    curve = [(k, min(costs[k, start] for start in range(starts))) for k in range(k_min, k_max + 1)]
+    """(chosen k, [(k, inertia)]): the best of ``starts`` runs per k, then the knee of the curve; all runs share their passes."""
+    wanted = [(k, seed + start) for k in range(k_min, k_max + 1) for start in range(starts)]
+    runs = batched_kmeans(standard_scale(df, features), features, wanted, max_iter)
+    curve = [(k, min(run.cost for run in runs if run.k == k)) for k in range(k_min, k_max + 1)]
     chosen = knee(curve)
     return (chosen if chosen is not None else (k_min + k_max) // 2), curve
 
