@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -47,20 +48,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _SHIPPED: set[str] = set()
+_SHIPPING = threading.Lock()
 
 
 def ship_code(spark: SparkSession) -> None:
     """Give the executors this package, once for each application, for the jobs that run Python on them."""
     application = spark.sparkContext.applicationId
-    if application in _SHIPPED:
-        return
-    package = Path(__file__).resolve().parent
-    target = Path(tempfile.mkdtemp(prefix="weirworks-code-")) / "weirworks_core.zip"
-    with zipfile.ZipFile(target, "w") as archive:
-        for path in sorted(package.rglob("*.py")):
-            archive.write(path, str(path.relative_to(package.parent)))
-    spark.sparkContext.addPyFile(str(target))
-    _SHIPPED.add(application)
+    with _SHIPPING:  # fits run side by side
+        if application in _SHIPPED:
+            return
+        package = Path(__file__).resolve().parent
+        target = Path(tempfile.mkdtemp(prefix="weirworks-code-")) / "weirworks_core.zip"
+        with zipfile.ZipFile(target, "w") as archive:
+            for path in sorted(package.rglob("*.py")):
+                archive.write(path, str(path.relative_to(package.parent)))
+        spark.sparkContext.addPyFile(str(target))
+        _SHIPPED.add(application)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
