@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from weirworks.operators import quantiles
 from weirworks.operators.quantiles import approximate_quantiles, exact_quantiles, long_values
 
 PROBS = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99, 1.0]
@@ -25,7 +26,9 @@ def found(df):
 
 
 @pytest.mark.parametrize(
-    "limits", [{}, {"large_bucket": 0}, {"small_targets": 0}], ids=["plain", "split", "distributed"]
+    "limits",
+    [{}, {"large_bucket": 0}, {"small_targets": 0}, {"small_targets": 0, "large_bucket": 40}],
+    ids=["plain", "split", "distributed", "distributed split"],
 )
 def test_matches_numpy_on_every_path(spark, limits):
     df = rows(spark)
@@ -45,6 +48,44 @@ def test_per_group(spark, limits):
         assert got[(k, "a", 0.5)] == pytest.approx(np.median(pandas[pandas.k == k].a), rel=1e-12)
 
 
+def test_crowded_cell_with_a_stray_value(spark, monkeypatch):
+    # All values of one doubling step but one lie within a billionth; the stray one stretches the cell.
+    rng = np.random.default_rng(3)
+    near = 1.0 + rng.integers(0, 2000, 6000) * 1e-12
+    values = np.concatenate([near, np.full(3000, 1.0 + 5e-10), [1.0001]])
+    df = spark.createDataFrame([(float(v),) for v in values], "x double")
+    seen = []
+    refined = quantiles._refined
+
+    def noted(*arguments):
+        rows, ranks, split = refined(*arguments)
+        cell = [name for name in rows.columns if name not in ("value", "n", "before")]
+        spread = rows.groupBy(*cell).agg(F.count("*").alias("size"), F.countDistinct("value").alias("values"))
+        seen.append((split, spread.filter("size > 50 and values > 1").count()))
+        return rows, ranks, split
+
+    monkeypatch.setattr(quantiles, "_refined", noted)
+    got = found(exact_quantiles(df, ["x"], PROBS, large_bucket=50))
+    for (_, prob), value in got.items():
+        assert value == pytest.approx(np.quantile(values, prob), rel=1e-15)
+    assert len(seen) > 1 and seen[-1] == (False, 0)
+
+
+def test_split_keeps_groups_apart(spark):
+    df = rows(spark)
+    pandas = df.toPandas()
+    got = found(exact_quantiles(df, ["c"], [0.2, 0.5], ["k"], large_bucket=10))
+    for (k, _, prob), value in got.items():
+        assert value == pytest.approx(np.nanquantile(pandas[pandas.k == k].c, prob), rel=1e-12)
+
+
+def test_odd_values_in_split_cells(spark):
+    data = [(v,) for v in (0.0, -0.0, float("inf"), float("inf"), float("-inf"), 1e308, 9e307, None)]
+    df = spark.createDataFrame(data, "x double")
+    plain, split = (found(exact_quantiles(df, ["x"], [0.0, 0.3, 0.5, 0.9], large_bucket=n)) for n in (100, 0))
+    assert plain == split and len(plain) == 4
+
+
 def test_odd_values(spark):
     df = spark.createDataFrame(
         [(1.0,), (float("nan"),), (None,), (float("inf"),), (float("-inf"),), (0.0,)], "x double"

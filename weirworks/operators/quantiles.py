@@ -3,8 +3,10 @@
 The built-in ``percentile`` keeps every distinct value of a group in one aggregation buffer. Here
 rows are counted per bucket of values (map-side combined, so only bucket totals are shuffled), the
 buckets that hold the wanted ranks are picked from the totals, and only values of those buckets are
-ordered. A bucket that is still large is split once more. Bucket borders are pure functions of the
-values, so a recomputed task always agrees with the rest.
+ordered. A picked bucket that is still crowded is split at borders from a mergeable quantile sketch of its own
+values, again and again, until it holds few rows or one value; a border value is a part of its own, so every
+round separates values, however close they lie or however far a stray one is. The first borders are pure
+functions of the values and the later ones are stored, so a recomputed task always agrees with the rest.
 
 The picked buckets are broadcast when their number is below ``SMALL_TARGETS`` (checked on the
 actual rows); with more groups than that they stay a distributed table and the join shuffles.
@@ -19,10 +21,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weirworks.functions.columns import quoted
+from weirworks.operators.small import broadcast_if_small
 from weirworks.session import materialised
 
 LOG_STEPS = 64  # buckets per doubling of the value
-LINEAR_STEPS = 4096  # parts of a bucket that is split again
+SPLIT_BORDERS = 63  # sketch borders of a bucket that is split again
+SKETCH_ACCURACY = 2000  # a border is off by at most this part of the bucket's rows
 LARGE_BUCKET = 2_000_000  # rows above which a picked bucket is split again
 SMALL_TARGETS = 20_000  # picked rows that may be broadcast
 
@@ -47,12 +51,6 @@ def _log_bucket(value: Column) -> Column:
     return F.floor(F.least(F.greatest(scaled, F.lit(-1e6)), F.lit(1e6))).cast("int")
 
 
-def _linear_bucket(value: Column, low: Column, high: Column) -> Column:
-    share = (value - low) / (high - low)
-    usable = (high > low) & ~F.isnan(share)
-    return F.when(usable, F.floor(share * (LINEAR_STEPS - 1))).otherwise(F.lit(0)).cast("int")
-
-
 def _running(group: Sequence[str], order: Sequence[str]) -> Column:
     window = Window.partitionBy(*map(quoted, group)).orderBy(*map(quoted, order))
     return F.sum("n").over(window.rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -80,6 +78,47 @@ def _local(df: DataFrame, rows: Sequence[Row], names: Sequence[str]) -> DataFram
     return F.broadcast(df.sparkSession.createDataFrame(distinct, schema))
 
 
+def _refined(
+    inside: DataFrame, ranks: DataFrame, cell: Sequence[str], step: str, small_targets: int, large_bucket: int
+) -> tuple[DataFrame, DataFrame, bool]:
+    """Crowded cells in parts: the rows and ranks of the parts that hold a wanted rank, and whether one is crowded still.
+
+    Rows of ``inside`` are values with their number ``n``; a cell is crowded by its rows, as those are what is ordered.
+    """
+    crowded = (F.col("size") > large_bucket) & (F.col("low") < F.col("high"))
+    shares = [(i + 1) / (SPLIT_BORDERS + 1) for i in range(SPLIT_BORDERS)]
+    sketched = inside.groupBy(*map(quoted, cell)).agg(
+        F.count("*").alias("size"),
+        F.min("value").alias("low"),
+        F.max("value").alias("high"),
+        F.array_distinct(F.percentile_approx("value", shares, SKETCH_ACCURACY)).alias("borders"),
+    )
+    # Stored, because a sketch depends on the order in which its parts meet.
+    borders = materialised(sketched.filter(crowded).select(*map(quoted, cell), "borders"), "borders")
+    below = F.size(F.filter("borders", lambda border: border < F.col("value")))
+    part = 2 * below + F.array_contains("borders", F.col("value")).cast("int")
+    number = F.when(F.col("borders").isNull(), F.lit(0)).otherwise(part)
+    stepped = inside.join(broadcast_if_small(borders, small_targets), cell, "left").select(
+        *map(quoted, cell), number.alias(step), "value", "n", "before"
+    )
+    finer = [*cell, step]
+    parts = stepped.groupBy(*map(quoted, finer)).agg(
+        F.sum("n").alias("n"),
+        F.count("*").alias("size"),
+        F.min("value").alias("low"),
+        F.max("value").alias("high"),
+        F.first("before").alias("start"),
+    )
+    before = F.col("start") + _running(cell, [step]) - F.col("n")
+    held = parts.select("*", before.alias("before")).join(ranks, cell).filter(_holds_rank())
+    names = ["prob", "side", "rank", "part", "before", "size", "low", "high"]
+    held = materialised(held.select(*map(quoted, finer), *names), "ranks")
+    kept = broadcast_if_small(held.select(*map(quoted, finer), "before").distinct(), small_targets)
+    rows = materialised(stepped.drop("before").join(kept, finer), "cells")
+    ranks = held.select(*map(quoted, finer), "prob", "side", "rank", "part")
+    return rows, ranks, bool(held.filter(crowded).take(1))
+
+
 def exact_quantiles(
     df: DataFrame,
     columns: Sequence[str],
@@ -103,34 +142,21 @@ def exact_quantiles(
     small = len(rows) <= small_targets
     if small:
         buckets, ranks = _local(picked, rows, bucket_names), _local(picked, rows, rank_names)
-        split = any(row["n"] > large_bucket for row in rows)
+        split = any(row["n"] > large_bucket and row["low"] < row["high"] for row in rows)
         counted = values.withColumn("n", F.lit(1).cast("bigint"))
     else:
         picked = materialised(picked, "ranks")  # a few rows per group, read twice below
         buckets, ranks = picked.select(*map(quoted, bucket_names)).distinct(), picked.select(*map(quoted, rank_names))
-        split = bool(picked.filter(F.col("n") > large_bucket).take(1))
+        split = bool(picked.filter((F.col("n") > large_bucket) & (F.col("low") < F.col("high"))).take(1))
         # Equal values meet before the join shuffles them, so a hot value is one row per group.
         counted = values.groupBy(*map(quoted, group), "bucket", "value").agg(F.count("*").alias("n"))
 
     inside = counted.join(buckets, [*group, "bucket"])
     cell = [*group, "bucket"]
-    if split:
-        # Split the picked buckets and keep only the parts that hold a wanted rank.
-        inside = inside.withColumn("step", _linear_bucket(F.col("value"), F.col("low"), F.col("high")))
-        parts = inside.groupBy(*map(quoted, cell), "step").agg(F.sum("n").alias("n"), F.first("before").alias("start"))
-        before = F.col("start") + _running(cell, ["step"]) - F.col("n")
-        ranks = (
-            parts.select("*", before.alias("before"))
-            .join(ranks, cell)
-            .filter(_holds_rank())
-            .select(*map(quoted, cell), "step", "prob", "side", "rank", "part", F.col("before").alias("step_before"))
-        )
-        cell = [*cell, "step"]
-        kept = ranks.select(*map(quoted, cell), "step_before").distinct()
-        if small:
-            kept, ranks = F.broadcast(kept), F.broadcast(ranks)
-        inside = inside.drop("before").join(kept, cell).withColumnRenamed("step_before", "before")
-        ranks = ranks.drop("step_before")
+    turn = 0
+    while split:
+        inside, ranks, split = _refined(inside, ranks, cell, f"step{turn}", small_targets, large_bucket)
+        cell, turn = [*cell, f"step{turn}"], turn + 1
 
     # Order only the distinct values that share a cell with a wanted rank.
     last = inside.groupBy(*map(quoted, cell), "value").agg(F.sum("n").alias("n"), F.first("before").alias("start"))
