@@ -12,7 +12,7 @@ from weirworks.functions.columns import (
     to_number,
     trend_label,
 )
-from weirworks.operators import rules, schema
+from weirworks.operators import groups, profile, rules, schema
 from weirworks.sources.tables import blank_sentinels, from_rows
 
 
@@ -168,3 +168,32 @@ def test_absent_features_are_an_error_unless_stand_ins_are_allowed(spark):
     with pytest.raises(ValueError, match="zz"):
         rules.project_features(df, ["zz"], "a", ["id"])
     assert rules.project_features(df, ["zz"], "a", ["id"], stand_ins=1).columns == ["id", "b", "a"]
+
+
+def test_rename_and_round(spark):
+    df = spark.createDataFrame([(1, 0.125, "a"), (2, None, None)], "k int, `a mean` double, t string")
+    got = groups.rename_round(df, {"a mean": "Mean", "absent": "x"})
+    assert got.columns == ["k", "Mean", "t"]
+    assert [tuple(r) for r in got.orderBy("k").collect()] == [(1, 0.13, "a"), (2, None, None)]
+
+
+def test_long_modes_are_told_apart_by_their_whole_text(spark):
+    long = "x" * profile.HEAD
+    texts = [long + "b"] * 3 + [long + "a"] * 3 + [long + "0"] * 2 + ["y"] * 3 + [None]
+    other = [long] * 4 + [long + "z"] * 4 + ["short", "", None, None]
+    df = spark.createDataFrame(list(zip(texts, other)), "`the text` string, o string")
+    got = {r["column"]: r for r in profile.categorical_profile(df).collect()}
+    row = got["the text"]
+    assert (row["top_value"], row["top_frequency"], row["unique_count"], row["count"]) == (long + "a", 3, 4, 11)
+    assert (got["o"]["top_value"], got["o"]["top_frequency"], got["o"]["missing_count"]) == (long, 4, 2)
+
+
+def test_text_profile_of_odd_tables(spark):
+    empty = spark.createDataFrame([], "a string, b string")
+    assert profile.categorical_profile(empty).collect() == []
+    nulls = spark.createDataFrame([(None,), (None,)], "a string")
+    row = one(profile.categorical_profile(nulls))
+    assert (row["count"], row["unique_count"], row["top_value"], row["top_frequency"]) == (0, 0, None, 0)
+    # Every text once: the smallest is the mode, whatever its length.
+    unique = spark.createDataFrame([("p" * 200 + str(i),) for i in range(20)], "a string")
+    assert one(profile.categorical_profile(unique))["top_value"] == "p" * 200 + "0"

@@ -399,6 +399,16 @@ def _(spark, sf_dir):
     return schema.narrow_decisions(table(spark, sf_dir, "lineitem").drop("l_shipdate"))
 
 
+@query(
+    "narrow_table",
+    f"""SELECT {", ".join([*_LINE_INTS, *_LINE_TEXT])}, {", ".join(f"CAST({c} AS FLOAT) AS {c}" for c in _LINE_DOUBLES)}
+    FROM lineitem""",
+)
+def _(spark, sf_dir):
+    # The table itself in the decided types.
+    return schema.narrow_types(table(spark, sf_dir, "lineitem").drop("l_shipdate"))
+
+
 _FLAGGED = with_views("sites_flagged")
 
 

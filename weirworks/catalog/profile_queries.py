@@ -360,6 +360,19 @@ def _(spark, sf_dir):
     return rounded(groups.trend_shares(measured(spark, sf_dir), "trend_delta"))
 
 
+@query(
+    "rename_round",
+    f"""SELECT l_orderkey AS "Order", l_linenumber AS "Line", {r('sqrt(l_extendedprice)', 'Root of price', 2)},
+    {r('l_quantity / 7', 'Weeks', 2)} FROM lineitem""",
+)
+def _(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.sqrt("l_extendedprice").alias("root"), (F.col("l_quantity") / 7).alias("weeks")
+    )
+    titles = {"l_orderkey": "Order", "l_linenumber": "Line", "root": "Root of price", "weeks": "Weeks"}
+    return groups.rename_round(rows, titles)
+
+
 @query(
     "sort_desc",
     f"{_MEASURED} SELECT company, region, {r('avg(row_mean)', 'mean')} FROM measured GROUP BY company, region",

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weirworks.functions.columns import long_rows, numeric_names, quoted, trend_label
 from weirworks.operators.quantiles import exact_quantiles, quantile_table
@@ -37,6 +38,20 @@ def group_stats(df: DataFrame, key: str, value: str, digits: int | None = 2) ->
     return joined.withColumns({n: F.round(quoted(n), digits) for n in names if n != "site_count"})
 
 
+def rename_round(df: DataFrame, names: Mapping[str, str], digits: int = 2) -> DataFrame:
+    """Columns under the given names, all doubles and floats rounded, ready to be read; other columns stay as they are.
+
+    Names of columns the table does not have are passed over.
+    """
+    real = {f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
+    return df.select(
+        *[
+            (F.round(quoted(c), digits) if c in real else quoted(c)).alias(names.get(c, c))
+            for c in df.columns
+        ]
+    )
+
+
 def sort_desc(df: DataFrame, column: str, tie: str) -> DataFrame:
     return df.orderBy(quoted(column).desc_nulls_last(), quoted(tie))
 

@@ -22,6 +22,9 @@ from weirworks.functions.columns import (
 )
 from weirworks.operators.quantiles import quantile_table
 from weirworks.operators.rules import is_outlier, moments
+from weirworks.operators.small import broadcast_if_small
+
+HEAD = 64  # leading characters of a text that are counted with its digest
 
 
 def missing_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -147,38 +150,89 @@ def numeric_profile(
     return table.join(F.broadcast(quantile_table(df, columns, probs)), "column", "left")  # one row per column
 
 
-def text_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, value, n) including the missing value."""
+def digest_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, digest, head, length, n) for each different text and, with null digest and head, the missing value.
+
+    Texts are told apart by a 128-bit digest; of the text itself only its first ``HEAD`` characters move with it.
+    """
     pairs = [F.struct(F.lit(c).alias("column"), quoted(c).cast("string").alias("value")) for c in columns]
-    return df.select(F.inline(F.array(*pairs))).groupBy("column", "value").agg(F.count("*").alias("n"))
+    value = F.col("value")
+    return (
+        df.select(F.inline(F.array(*pairs)))
+        .select("column", F.unhex(F.md5(value)).alias("digest"), _head(value).alias("head"), F.length(value).alias("length"))
+        .groupBy("column", "digest", "head", "length")
+        .agg(F.count("*").alias("n"))
+    )
+
+
+def _head(value: Column) -> Column:
+    return F.substring(value, 1, HEAD)
+
+
+def _whole_modes(df: DataFrame, modes: dict[str, tuple[str, int]]) -> dict[str, str]:
+    """The smallest of the most frequent texts of columns whose mode is longer than its head.
+
+    ``modes`` holds the head and the frequency of each column's mode. Only rows with that head are counted again, and
+    only texts whose digest has that frequency are fetched; equal frequencies of texts with one head are decided there.
+    """
+    pairs = [
+        F.struct(F.lit(c).alias("column"), F.when(_head(text) == F.lit(head), text).alias("value"), F.lit(n).cast("bigint").alias("most"))
+        for c, (head, n) in modes.items()
+        for text in [quoted(c).cast("string")]
+    ]
+    rows = df.select(F.inline(F.array(*pairs))).filter(F.col("value").isNotNull())
+    keyed = rows.select("*", F.unhex(F.md5("value")).alias("digest"))
+    counted = keyed.groupBy("column", "digest").agg(F.count("*").alias("n"), F.first("most").alias("most"))
+    tied = broadcast_if_small(counted.filter(F.col("n") == F.col("most")).select("column", "digest"))
+    found = keyed.join(tied, ["column", "digest"], "left_semi").groupBy("column").agg(F.min("value").alias("value"))
+    return {row["column"]: row["value"] for row in found.collect()}  # one row per column
 
 
 def categorical_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Per text column: count, distinct, mode (smallest of the most frequent), missing share.
 
-    One grouping by (column, value) serves all columns; the per-column step only combines partial results.
+    One grouping by (column, digest) serves all columns. Its totals are fetched, one row per column; a mode longer than
+    ``HEAD`` characters takes a second pass over the rows that begin like it.
     """
     columns = other_names(df) if columns is None else list(columns)
-    present = F.col("value").isNotNull()
-    top = F.min(F.when(present, F.struct((-F.col("n")).alias("rank"), F.col("value").alias("value"))))
-    table = (
-        text_counts(df, columns)
+    present = F.col("digest").isNotNull()
+    top = F.min(F.when(present, F.struct((-F.col("n")).alias("rank"), F.col("head"), (-F.col("length")).alias("shortness"))))
+    totals = (
+        digest_counts(df, columns)
         .groupBy("column")
         .agg(
             F.sum("n").alias("rows"),
             F.coalesce(F.sum(F.when(present, F.col("n"))), F.lit(0)).alias("count"),
-            F.count("value").alias("unique_count"),
+            F.count("digest").alias("unique_count"),
             top.alias("top"),
         )
+        .collect()
     )
+    # Of equal heads the longest text comes first, so a mode that fits its head has no longer text tied with it.
+    cut = {
+        r["column"]: (r["top"]["head"], -r["top"]["rank"]) for r in totals if r["top"] and -r["top"]["shortness"] > HEAD
+    }
+    whole = _whole_modes(df, cut) if cut else {}
+    fixed = [
+        (
+            r["column"],
+            r["rows"],
+            r["count"],
+            r["unique_count"],
+            whole.get(r["column"], r["top"]["head"] if r["top"] else None),
+            -r["top"]["rank"] if r["top"] else 0,
+        )
+        for r in totals
+    ]
+    schema = "column string, rows long, count long, unique_count long, top_value string, top_frequency long"
     missing = F.col("rows") - F.col("count")
-    return table.select(
+    return df.sparkSession.createDataFrame(fixed, schema).select(
         "column",
         "count",
         "unique_count",
         percent(F.col("unique_count"), F.col("count")).alias("unique_percent"),
-        F.col("top.value").alias("top_value"),
-        F.coalesce(-F.col("top.rank"), F.lit(0)).alias("top_frequency"),
+        "top_value",
+        "top_frequency",
         missing.alias("missing_count"),
         percent(missing, F.col("rows")).alias("missing_percent"),
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weirworks.functions.columns import is_numeric, long_rows, quoted
+from weirworks.operators.profile import digest_counts
 
 # The column names a site table may use, by kind.
 NAME_PATTERNS = {
@@ -130,7 +131,7 @@ _WHOLE = [("tinyint", 8), ("smallint", 16), ("int", 32)]
 def narrow_decisions(df: DataFrame, low_cardinality: float = 0.5) -> DataFrame:
     """(column, current_type, decision): smaller types the data allows, and low-cardinality text.
 
-    Distinct texts are counted as (column, text) groups, so no task holds one column's whole value set.
+    Distinct texts are counted as (column, digest) groups, so no task holds one column's whole value set.
     """
     whole = [f.name for f in df.schema if isinstance(f.dataType, (T.IntegerType, T.LongType))]
     doubles = [f.name for f in df.schema if isinstance(f.dataType, T.DoubleType)]
@@ -152,12 +153,11 @@ def narrow_decisions(df: DataFrame, low_cardinality: float = 0.5) -> DataFrame:
             rows.append({"column": F.lit(c), "current_type": F.lit(types[c]), "decision": decision})
         parts.append(long_rows(single, rows))
     if texts:
-        pairs = [F.struct(F.lit(c).alias("column"), quoted(c).alias("text")) for c in texts]
-        counted = df.select(F.inline(F.array(*pairs))).groupBy("column", "text").agg(F.count("*").alias("n"))
-        share = F.count("text") / F.sum("n")
+        share = F.count("digest") / F.sum("n")
         kind = F.when(share < low_cardinality, F.lit("low_cardinality")).otherwise(F.lit("string"))
         parts.append(
-            counted.groupBy("column")
+            digest_counts(df, texts)
+            .groupBy("column")
             .agg(kind.alias("decision"))
             .select("column", F.lit("string").alias("current_type"), "decision")
         )
