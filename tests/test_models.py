@@ -332,3 +332,34 @@ def test_batched_runs_are_single_runs(spark):
     assert [len(r.centres) for r in lloyd.batched_kmeans(df.limit(1), ["p", "q"], [(3, 1)])] == [3]
     with pytest.raises(ValueError):
         lloyd.batched_kmeans(df.limit(0), ["p", "q"], [(2, 1)])
+
+
+def test_composed_models_predict_alike_after_storing(spark, data, tmp_path):
+    def line():
+        return regression.make_regressor("linear_regression", "y")
+
+    rows = regression.mark_folds(data, "id")
+    nested = VotingRegressor({"line": line(), "boost": AdaBoostR2("y", rounds=3)})
+    kinds = {
+        "adaboost": AdaBoostR2("y", rounds=4),
+        "voting of models of models": VotingRegressor({"inner": nested, "tree": regression.make_regressor("decision_tree", "y")}),
+        "stacking": StackingRegressor({"line": line(), "boost": AdaBoostR2("y", rounds=2)}, "y", folds=2, trees=5),
+    }
+    for name, estimator in kinds.items():
+        model = regression.scaled_pipeline(FEATURES, estimator).fit(rows)
+        path = str(tmp_path / name.replace(" ", "_"))
+        for _ in range(2):  # the second time replaces the first
+            stored = sinks.load_model(spark, sinks.save_model(model, path))
+        before = model.transform(rows).select("id", *FEATURES, F.col("prediction").alias("before"))
+        assert stored.transform(before).filter("before <> prediction or prediction is null").count() == 0
+        assert [s.uid for s in stored.stages] == [s.uid for s in model.stages]
+        bare = sinks.load_model(spark, sinks.save_model(model.stages[-1], path + "_bare"))
+        assert type(bare) is type(model.stages[-1])
+
+
+def test_copies_of_composed_models_are_apart(data):
+    model = regression.scaled_pipeline(FEATURES, AdaBoostR2("y", rounds=2)).fit(data).stages[-1]
+    copied = model.copy()
+    copied.trees[0].setPredictionCol("elsewhere")
+    assert model.trees[0].getPredictionCol() != "elsewhere" and copied.weights == model.weights
+    assert copied.uid == model.uid

@@ -362,25 +362,52 @@ def _(spark, sf_dir):
     return both.select("site_id", F.col("before").eqNullSafe(F.col("after")).alias("same"))
 
 
-@query("voting_ensemble")
-def _(spark, sf_dir):
+def _voting():
     names = ("random_forest", "gradient_boosting", "adaboost")
+    return VotingRegressor({n: regression.make_regressor(n, SITE_TARGET, trees=TREES) for n in names})
+
+
+def _stacking():
+    names = ("random_forest", "decision_tree", "linear_regression")
     members = {n: regression.make_regressor(n, SITE_TARGET, trees=TREES) for n in names}
+    return StackingRegressor(members, SITE_TARGET)
+
+
+@query("voting_ensemble")
+def _(spark, sf_dir):
     rows = site_rows(spark, sf_dir)
-    model = regression.scaled_pipeline(SITE_FEATURES, VotingRegressor(members)).fit(rows)
+    model = regression.scaled_pipeline(SITE_FEATURES, _voting()).fit(rows)
     return model.transform(rows).select("site_id", quoted(SITE_TARGET), "prediction")
 
 
 @query("stacking_ensemble")
 def _(spark, sf_dir):
-    names = ("random_forest", "decision_tree", "linear_regression")
-    members = {n: regression.make_regressor(n, SITE_TARGET, trees=TREES) for n in names}
     rows = regression.mark_folds(site_rows(spark, sf_dir), "site_id")
-    stacking = StackingRegressor(members, SITE_TARGET)
-    model = regression.scaled_pipeline(SITE_FEATURES, stacking).fit(rows)
+    model = regression.scaled_pipeline(SITE_FEATURES, _stacking()).fit(rows)
     return model.transform(rows).select("site_id", quoted(SITE_TARGET), "prediction")
 
 
+@query(
+    "composite_save_load",
+    f"""{_SITES} SELECT site_id, model, true AS same FROM sites,
+    (VALUES ('adaboost'), ('stacking'), ('voting')) AS m(model)""",
+)
+def _(spark, sf_dir):
+    # Predictions of each composed model before it is stored and after it is read back.
+    rows = regression.mark_folds(site_rows(spark, sf_dir), "site_id")
+    adaboost = regression.make_regressor("adaboost", SITE_TARGET, trees=TREES)
+    parts = []
+    for name, estimator in (("adaboost", adaboost), ("stacking", _stacking()), ("voting", _voting())):
+        model = regression.scaled_pipeline(SITE_FEATURES, estimator).fit(rows)
+        stored = sinks.load_model(spark, sinks.save_model(model, scratch_path(spark, "model")))
+        before = model.transform(rows).select("site_id", *SITE_FEATURES, F.col("prediction").alias("before"))
+        both = stored.transform(before)
+        parts.append(
+            both.select("site_id", F.lit(name).alias("model"), F.col("before").eqNullSafe(F.col("prediction")).alias("same"))
+        )
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 # ---- tuning and comparison --------------------------------------------------------------------
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
-from pyspark.ml import PipelineModel
+from pyspark.ml import Model
+from pyspark.ml.util import DefaultParamsReader
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -32,15 +33,16 @@ def write_report(tables: dict[str, DataFrame], base: str) -> dict[str, str]:
     return {name: write_table(df, f"{base.rstrip('/')}/{name}", "json") for name, df in tables.items()}
 
 
-def save_model(model: PipelineModel, path: str) -> str:
+def save_model(model: Model, path: str) -> str:
+    """Any fitted model: a pipeline, one of Spark's, or one of ``operators.ensembles``."""
     model.write().overwrite().save(path)
     return path
 
 
-def load_model(spark: SparkSession, path: str) -> PipelineModel:
-    """A stored pipeline; a path without one raises FileNotFoundError."""
+def load_model(spark: SparkSession, path: str) -> Model:
+    """A stored model of the kind that was saved; a path without one raises FileNotFoundError."""
     context = spark.sparkContext
     location = context._jvm.org.apache.hadoop.fs.Path(path)
     if not location.getFileSystem(context._jsc.hadoopConfiguration()).exists(location):
         raise FileNotFoundError(f"no model at {path}")
-    return PipelineModel.load(path)
+    return DefaultParamsReader.loadParamsInstance(path, spark)
