@@ -6,7 +6,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from weirworks.operators import charts, clusters, features, lloyd, nested, parzen, regression, tuning
+from weirworks.operators import charts, clusters, features, linear_folds, lloyd, nested, parzen, regression, tuning
 from weirworks.operators.ensembles import AdaBoostR2, StackingRegressor, VotingRegressor
 from weirworks.operators.forests import forest
 from weirworks.session import fit_input
@@ -363,3 +363,45 @@ def test_copies_of_composed_models_are_apart(data):
     copied.trees[0].setPredictionCol("elsewhere")
     assert model.trees[0].getPredictionCol() != "elsewhere" and copied.weights == model.weights
     assert copied.uid == model.uid
+
+
+def test_moments_give_the_folds_of_fitted_models(data):
+    names = ["linear_regression", "ridge", "lasso"]
+    slow = {r.model: r for r in tuning.compare_models(data, "id", FEATURES, "y", names, folds=2).collect()}
+    fast = {r.model: r for r in linear_folds.compare_linear(data, "id", FEATURES, "y", [*names, "unknown"], folds=2).collect()}
+    for name in names:
+        for field in ("cv_mean", "cv_std", "r2", "rmse"):
+            assert fast[name][field] == pytest.approx(slow[name][field], abs=1e-4), (name, field)
+        assert fast[name].best == slow[name].best and fast[name].error is None
+    assert fast["unknown"].error is not None
+
+
+def test_moments_give_the_learning_curve_of_fitted_models(data):
+    line = regression.make_regressor("linear_regression", "y")
+    slow = tuning.learning_curve(data, "id", FEATURES, "y", line, (0.5, 1.0), folds=2).collect()
+    fast = linear_folds.linear_learning_curve(data, "id", FEATURES, "y", fractions=(0.5, 1.0), folds=2).collect()
+    for a, b in zip(slow, fast, strict=True):
+        assert tuple(b) == pytest.approx(tuple(a), abs=1e-6)
+
+
+def test_moments_of_odd_tables(spark):
+    rng = np.random.default_rng(9)
+    x = 1e9 + rng.normal(0, 1, 200)  # far from zero
+    rows = [(i, float(v), 5.0, float(v), float(2 * v + e)) for i, (v, e) in enumerate(zip(x, rng.normal(0, 0.1, 200)))]
+    df = spark.createDataFrame([*rows, (None, None, None, None, None)], "id int, a double, k double, b double, y double")
+    found = linear_folds.compare_linear(df, "id", ["a", "k", "b"], "y", folds=3)  # one constant feature, one twice
+    assert all(r.error is None and r.r2 > 0.6 for r in found.collect())
+    assert found.filter("model = 'linear_regression'").first().r2 > 0.99
+    empty = df.limit(0)
+    assert all(r.cv_mean is None or np.isnan(r.cv_mean) for r in linear_folds.compare_linear(empty, "id", ["a"], "y").collect())
+    curve = linear_folds.linear_learning_curve(empty, "id", ["a"], "y", fractions=(1.0,)).collect()
+    assert curve[0].train_rows == 0 and np.isnan(curve[0].valid_mean)
+
+
+def test_wide_moments_come_in_several_passes(data, monkeypatch):
+    whole = linear_folds.moment_table(data, [*FEATURES, "y"], [F.lit(0)])
+    monkeypatch.setattr(linear_folds, "PAIRS_PER_PASS", 3)
+    parts = linear_folds.moment_table(data, [*FEATURES, "y"], [F.lit(0)])
+    values = data.select(*FEATURES, "y").toPandas().to_numpy()
+    assert np.allclose(whole[0,].spread, parts[0,].spread, rtol=1e-12)
+    assert np.allclose(whole[0,].spread, np.cov(values.T, bias=True) * 400)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from itertools import combinations
 from statistics import NormalDist
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from weirworks.catalog.cleaning_queries import _FLAGGED, _SITES
 from weirworks.catalog.registry import bucket_sql, query, r, rounded, union_all
 from weirworks.catalog.tables import PERIODS, sites, sites_flagged, table
 from weirworks.functions.columns import quoted, row_mean
-from weirworks.operators import charts, clusters, features, groups, regression, tuning
+from weirworks.operators import charts, clusters, features, groups, linear_folds, regression, tuning
 from weirworks.operators.ensembles import StackingRegressor, VotingRegressor
 from weirworks.operators.rules import drop_missing, fill_constant
 from weirworks.plans import modelling
@@ -393,12 +394,13 @@ def _(spark, sf_dir):
     (VALUES ('adaboost'), ('stacking'), ('voting')) AS m(model)""",
 )
 def _(spark, sf_dir):
-    # Predictions of each composed model before it is stored and after it is read back.
+    # Predictions of each composed model before it is stored and after it is read back; the boosted trees are the voting's.
     rows = regression.mark_folds(site_rows(spark, sf_dir), "site_id")
-    adaboost = regression.make_regressor("adaboost", SITE_TARGET, trees=TREES)
+    voting = regression.scaled_pipeline(SITE_FEATURES, _voting()).fit(rows)
+    boosted = PipelineModel([*voting.stages[:-1], voting.stages[-1].members["adaboost"]])
+    stacking = regression.scaled_pipeline(SITE_FEATURES, _stacking()).fit(rows)
     parts = []
-    for name, estimator in (("adaboost", adaboost), ("stacking", _stacking()), ("voting", _voting())):
-        model = regression.scaled_pipeline(SITE_FEATURES, estimator).fit(rows)
+    for name, model in (("adaboost", boosted), ("stacking", stacking), ("voting", voting)):
         stored = sinks.load_model(spark, sinks.save_model(model, scratch_path(spark, "model")))
         before = model.transform(rows).select("site_id", *SITE_FEATURES, F.col("prediction").alias("before"))
         both = stored.transform(before)
@@ -461,18 +463,52 @@ def _(spark, sf_dir):
 
 @query("model_comparison_table")
 def _(spark, sf_dir):
-    rows = site_rows(spark, sf_dir)
-    names = ("linear_regression", "ridge", "lasso")
-    found = tuning.compare_models(rows, "site_id", SITE_FEATURES, SITE_TARGET, names)
+    found = linear_folds.compare_linear(site_rows(spark, sf_dir), "site_id", SITE_FEATURES, SITE_TARGET)
     return charts.comparison_table(found)
 
 
+_LINE_SLOPES = {
+    "linear_regression": "c / (sx * sx)",
+    "ridge": "n * c / sx / (n + 1.0) / sx",
+    "lasso": "sign(c) * greatest(abs(c / sx) - 1.0, 0) / sx",
+}
+
+
+@query(
+    "model_comparison_line",
+    f"""{_SITES}, d AS (SELECT coalesce(events_1995, 0) AS x, coalesce(balance, 0) AS y, {bucket_sql('site_id', 5)} AS fold FROM sites),
+  s AS (SELECT f.fold, avg(x) AS mx, avg(y) AS my, stddev_pop(x) AS sx, count(*) AS n, covar_pop(y, x) AS c
+        FROM range(5) f(fold) JOIN d ON d.fold <> f.fold GROUP BY f.fold),
+  m AS ({union_all([f"SELECT '{name}' AS model, fold, mx, my, {slope} AS b FROM s" for name, slope in _LINE_SLOPES.items()])}),
+  e AS (SELECT model, d.fold, 1 - avg((y - my - b * (x - mx)) ^ 2) / var_pop(y) AS score FROM d JOIN m USING (fold) GROUP BY model, d.fold)
+  SELECT model, {r('avg(score)', 'score', 6)}, {r('stddev_pop(score)', 'spread', 6)} FROM e GROUP BY model""",
+)
+def _(spark, sf_dir):
+    rows = fill_constant(sites(spark, sf_dir).select("site_id", "events_1995", "balance"), 0)
+    found = linear_folds.compare_linear(rows, "site_id", ["events_1995"], "balance")
+    return rounded(charts.comparison_table(found), 6)
+
+
 @query("learning_curve")
 def _(spark, sf_dir):
-    estimator = LinearRegression(labelCol=SITE_TARGET, featuresCol="features", solver="normal")
-    return tuning.learning_curve(
-        site_rows(spark, sf_dir), "site_id", SITE_FEATURES, SITE_TARGET, estimator
-    )
+    return linear_folds.linear_learning_curve(site_rows(spark, sf_dir), "site_id", SITE_FEATURES, SITE_TARGET)
+
+
+@query(
+    "learning_curve_line",
+    f"""{_SITES}, d AS (SELECT coalesce(events_1995, 0) AS x, coalesce(balance, 0) AS y, {bucket_sql('site_id', 5)} AS fold,
+      {bucket_sql('site_id', 10000, 43)} AS share FROM sites),
+  m AS (SELECT i, f.fold, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, regr_r2(y, x) AS train, count(*) AS n
+        FROM range(1, 11) p(i), range(5) f(fold), d WHERE d.fold <> f.fold AND d.share < i * 1000 GROUP BY i, f.fold),
+  e AS (SELECT i, m.fold, any_value(train) AS train, any_value(n) AS n, 1 - avg((y - a - b * x) ^ 2) / var_pop(y) AS valid
+        FROM m JOIN d USING (fold) GROUP BY i, m.fold)
+  SELECT CAST(i AS DOUBLE) / 10 AS fraction, {r('avg(n)', 'train_rows', 6)}, {r('avg(train)', 'train_mean', 6)},
+    {r('stddev_pop(train)', 'train_std', 6)}, {r('avg(valid)', 'valid_mean', 6)}, {r('stddev_pop(valid)', 'valid_std', 6)}
+  FROM e GROUP BY i""",
+)
+def _(spark, sf_dir):
+    rows = fill_constant(sites(spark, sf_dir).select("site_id", "events_1995", "balance"), 0)
+    return rounded(linear_folds.linear_learning_curve(rows, "site_id", ["events_1995"], "balance"), 6)
 
 
 @query("model_workflow")
