@@ -51,6 +51,42 @@ def test_cover_tree_covers_and_separates():
             assert np.array_equal(centres[0], tree.centre_of[node])
 
 
+def test_spread_points_come_in_levels_down_to_small_leaves():
+    rng = np.random.default_rng(4)
+    points = rng.normal(size=(700, 64))
+    points = np.floor(256 * points / np.linalg.norm(points, axis=1, keepdims=True))
+    points = np.concatenate([points, points[:5], np.tile(points[9], (60, 1)), np.zeros((2, 64))])
+    tree = covertree.CoverTree(points, leaf=8, step=1.3)
+    assert sorted(tree.order.tolist()) == list(range(len(points)))
+    depth = np.zeros(len(tree.span_of), dtype=int)
+    for node, (start, end) in enumerate(tree.span_of):
+        inside, (first, last) = points[tree.order[start:end]], tree.children_of[node]
+        reach = np.sqrt(((inside - tree.centre_of[node]) ** 2).sum(1))
+        norms = np.sqrt((inside**2).sum(1))
+        assert reach.max() <= tree.radius_of[node] + 1e-9 and (tree.low_of[node], tree.top_of[node]) == (norms.min(), norms.max())
+        if last:
+            depth[first:last] = depth[node] + 1
+            assert last - first > 1 and (tree.radius_of[first:last] <= tree.radius_of[node] / 1.3 + 1e-9).all()
+            assert tree.span_of[first, 0] == start and tree.span_of[last - 1, 1] == end
+        else:
+            assert end - start <= 8 or reach.max() == 0
+    assert depth.max() >= 2
+
+
+def test_dual_descent_prunes_clusters_and_stays_exact():
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 16)) * 500
+    points = np.floor(centres[rng.integers(40, size=3000)] + rng.normal(size=(3000, 16)) * 20).astype(np.int64)
+    ids, asked = np.arange(3000), np.arange(0, 3000, 50)
+    best = covertree.Best(asked, 5)
+    tally = covertree.search(points[asked], ids, points, best, covertree.CoverTree(points[asked], covertree.QUERY_LEAF, covertree.STEP))
+    for row, q in enumerate(asked):
+        scores = points @ points[q]
+        wanted = sorted((-int(scores[i]), i) for i in ids if i != q)[:5]
+        assert [(-s, i) for s, i in zip(best.score[row].tolist(), best.id[row].tolist())] == wanted
+    assert tally.pruned_groups > 0 and tally.scores < len(asked) * 3000 / 2
+
+
 def substring_distance(item, text):
     before = np.zeros(len(text) + 1, dtype=int)
     codes, place = np.array([ord(c) for c in text]), np.arange(len(text) + 1)

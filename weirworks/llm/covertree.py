@@ -3,7 +3,7 @@
 Data rows are dealt into blocks of bounded size. Each block gets a cover tree: nodes with a centre, a covering radius and
 children, cut at leaves of a few points. The queries, in blocks of a fixed size, get a tree of the same kind. Query and data trees are descended
 together: for a query node with centre q, radius r and a data node with centre p, radius s no score between them exceeds
-q.p + |q| s + |p| r + r s, so a data node goes once this bound is below the worst k-th score of the query node's queries.
+q.p + |q| s + |p| r + r s, nor the product of the largest norms with the cosine of the angle left between the nodes' cones, so a data node goes once this bound is below the worst k-th score of the query node's queries.
 Each task returns the best k of its blocks for each query, and a window over those picks the best of all.
 
 Vectors become the integers floor(scale * x), with x as a double; scores are exact 64-bit integers.
@@ -16,6 +16,7 @@ of different lengths are compared within their length only. An empty table gives
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -29,6 +30,10 @@ from weirworks.session import materialised
 BLOCK_ROWS = 4_096
 QUERY_ROWS = 4_096
 LEAF = 24
+#: Queries of a leaf: few, because the worst k-th score of all of them decides what goes.
+QUERY_LEAF = 4
+#: A child covers this part less than its parent. Close to 1, so that spread points still come in several levels.
+STEP = 1.3
 SCALE = 256
 #: Room for rounding in bounds, which are doubles; scores are integers.
 SLACK = 1e-6
@@ -39,64 +44,80 @@ NONE = -(1 << 62)
 class CoverTree:
     """Nodes in arrays: centre, covering radius, children (ranges of nodes) and points (ranges of ``order``).
 
-    A node of covering radius R has children that cover R / 2 each, around points more than R / 2 apart; its own centre is
-    the first of them. Where most points are further apart than that, each would be its own child: such a node, like one
-    of few points, is a leaf. The points of a node are contiguous in ``order``, its centre first.
+    A node of covering radius R has children of at most R / ``step``, around points more than R / ``step`` apart; its own
+    centre is the first of them. Nodes are opened down to ``leaf`` points or equal points, however far apart the points are.
+    The points of a node are contiguous in ``order``, its centre first. For bounds, a node also has the smallest and
+    largest norm of its points and their widest angle to the centre.
     """
 
-    def __init__(self, points: np.ndarray, leaf: int = LEAF):
-        self.points = points.astype(np.float64)
+    def __init__(self, points: np.ndarray, leaf: int = LEAF, step: float = 2.0):
+        self.points, self.step = points.astype(np.float64), step
+        self.norms = np.sqrt((self.points**2).sum(1))
         self.order = np.arange(len(points))
-        self.centre: list[np.ndarray] = []
-        self.radius: list[float] = []
         self.span: list[tuple[int, int]] = []
         self.children: list[tuple[int, int]] = []
+        self.reach: list[tuple[float, float, float, float]] = []
         if len(points):
             self._grow(leaf)
-        self.centre_of = np.array(self.centre) if self.centre else np.zeros((0, points.shape[1]))
-        self.radius_of = np.array(self.radius)
-        self.norm_of = np.sqrt((self.centre_of**2).sum(1))
         self.span_of = np.array(self.span, dtype=np.int64).reshape(-1, 2)
         self.children_of = np.array(self.children, dtype=np.int64).reshape(-1, 2)
+        self.radius_of, self.low_of, self.top_of, self.angle_of = np.array(self.reach).reshape(-1, 4).T
+        first = np.array([start for start, _ in self.span], dtype=np.int64)
+        self.centre_of, self.norm_of = self.points[self.order[first]], self.norms[self.order[first]]
 
     def _add(self, start: int, end: int) -> None:
-        centre = self.points[self.order[start]]
-        reach = self.points[self.order[start:end]] - centre
-        self.centre.append(centre)
-        self.radius.append(float(np.sqrt((reach**2).sum(1).max())))
+        members = self.order[start:end]
+        points, norms = self.points[members], self.norms[members]
+        radius = float(np.sqrt(((points - points[0]) ** 2).sum(1).max()))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            cosine = points @ points[0] / (norms * norms[0])
+        angle = float(np.arccos(np.clip(np.nan_to_num(cosine, nan=-1.0), -1, 1)).max()) if end - start > 1 else 0.0
         self.span.append((start, end))
         self.children.append((0, 0))
+        self.reach.append((radius, float(norms.min()), float(norms.max()), angle))
 
     def _grow(self, leaf: int) -> None:
         self._add(0, len(self.points))
         node = 0
         while node < len(self.span):
-            (start, end), reach = self.span[node], self.radius[node]
-            if end - start > leaf and reach > 0:
-                groups = self._cover(start, end, reach / 2)
+            (start, end), radius = self.span[node], self.reach[node][0]
+            if end - start > leaf and radius > 0:
                 first = len(self.span)
-                for members in groups:
+                for members in self._cover(start, end, radius / self.step):
                     self.order[start : start + len(members)] = members
                     self._add(start, start + len(members))
                     start += len(members)
-                self.children[node] = (first, len(self.span)) if groups else (0, 0)
+                self.children[node] = (first, len(self.span))
             node += 1
 
     def _cover(self, start: int, end: int, within: float) -> list[np.ndarray]:
-        """Balls around points more than ``within`` apart; each point joins the first ball that holds it.
-
-        None if balls hold fewer than four points on average.
-        """
-        left, groups = self.order[start:end].copy(), []
-        while len(left):
-            if len(groups) * 4 >= end - start:
-                return []
-            near = ((self.points[left] - self.points[left[0]]) ** 2).sum(1) <= within * within
-            groups.append(left[near])
-            left = left[~near]
+        """Balls around points more than ``within`` apart, the node's centre first; each point joins the first that holds it."""
+        members, groups = self.order[start:end].copy(), []
+        # Seen from the centre, so that rounding is small against the radius.
+        points = self.points[members] - self.points[members[0]]
+        squares, left = (points**2).sum(1), np.ones(len(members), dtype=bool)
+        for at in range(len(members)):
+            if left[at]:
+                near = left & (squares + squares[at] - 2 * (points @ points[at]) <= within * within)
+                near[at] = True
+                groups.append(members[near])
+                left &= ~near
         return groups
 
 
+@dataclass
+class Tally:
+    """What a search did: node pairs that were bounded, node pairs that went, those of them with several points, scores computed.
+
+    The bound of a node with one point costs as much as its score, so only ``pruned_groups`` saves work.
+    """
+
+    pairs: int = 0
+    pruned: int = 0
+    pruned_groups: int = 0
+    scores: int = 0
+
+
 class Best:
     """The best k (score, id) of each query so far; ties go to the smaller id."""
 
@@ -123,22 +144,35 @@ class Best:
             self.score[q], self.id[q] = score[fresh][: self.k], ident[fresh][: self.k]
 
 
-def search(queries: np.ndarray, ids: np.ndarray, points: np.ndarray, best: Best, query_tree: CoverTree) -> None:
+def search(queries: np.ndarray, ids: np.ndarray, points: np.ndarray, best: Best, query_tree: CoverTree) -> Tally:
     """Descend both trees together and leave each query's best k in ``best``."""
-    tree = CoverTree(points)
+    tree, tally = CoverTree(points, step=STEP), Tally()
     rows, wanted = points.astype(np.int64), queries.astype(np.int64)
     # Exact in doubles: integer products whose sums stay below 2^53; else in 64-bit integers.
     exact = float(np.abs(points).max(initial=0)) * float(np.abs(queries).max(initial=0)) * points.shape[1] < 2**53
     fast_rows, fast_wanted = points.astype(np.float64), queries.astype(np.float64)
 
     def score(q: np.ndarray, p: np.ndarray) -> np.ndarray:
+        tally.scores += len(q) * len(p)
         return (fast_wanted[q] @ fast_rows[p].T).astype(np.int64) if exact else wanted[q] @ rows[p].T
 
     def bounds(node: int, nodes: np.ndarray) -> np.ndarray:
-        centre, reach = query_tree.centre_of[node], query_tree.radius_of[node]
+        """The smaller of two limits: centres and radii, and norms with the angle that is left between the two cones."""
+        tally.pairs += len(nodes)
+        reach, size, low, top = (float(of[node]) for of in (query_tree.radius_of, query_tree.norm_of, query_tree.low_of, query_tree.top_of))
         radius, norm = tree.radius_of[nodes], tree.norm_of[nodes]
-        size = np.sqrt((centre**2).sum())
-        return tree.centre_of[nodes] @ centre + size * radius + norm * reach + reach * radius + SLACK * (1 + size * (norm + radius))
+        product = tree.centre_of[nodes] @ query_tree.centre_of[node]
+        ball = product + size * radius + norm * reach + reach * radius
+        with np.errstate(invalid="ignore", divide="ignore"):
+            cosine = np.nan_to_num(product / (size * norm), nan=1.0, posinf=1.0, neginf=1.0)
+        gap = np.maximum(np.arccos(np.clip(cosine, -1, 1)) - query_tree.angle_of[node] - tree.angle_of[nodes], 0)
+        along = np.cos(gap)
+        cone = along * np.where(along > 0, top * tree.top_of[nodes], low * tree.low_of[nodes])
+        return np.minimum(ball, cone) + SLACK * (1 + (size + reach) * (norm + radius))
+
+    def gone(nodes: np.ndarray) -> None:
+        tally.pruned += len(nodes)
+        tally.pruned_groups += int((tree.span_of[nodes, 1] - tree.span_of[nodes, 0] > 1).sum())
 
     def members(of: CoverTree, node: int) -> np.ndarray:
         start, end = of.span_of[node]
@@ -150,15 +184,22 @@ def search(queries: np.ndarray, ids: np.ndarray, points: np.ndarray, best: Best,
         while len(nodes):
             reach = bounds(node, nodes)
             able = reach >= best.worst(asked)
+            gone(nodes[~able])
             nodes, reach = nodes[able], reach[able]
             final = tree.children_of[nodes, 1] == 0
-            ready = nodes[final][np.argsort(-reach[final], kind="stable")]
-            for some in range(0, len(ready), 16):
-                part = ready[some : some + 16]
-                part = part[bounds(node, part) >= best.worst(asked)]
-                if len(part):
-                    p = np.concatenate([members(tree, x) for x in part])
-                    best.offer(asked, ids[p], score(asked, p))
+            order = np.argsort(-reach[final], kind="stable")
+            ready, high = nodes[final][order], reach[final][order]
+            at, some = 0, 16
+            while at < len(ready):
+                part = ready[at : at + some]
+                part = part[high[at : at + some] >= best.worst(asked)]
+                if not len(part):  # those after it have lower bounds still
+                    break
+                p = np.concatenate([members(tree, x) for x in part])
+                best.offer(asked, ids[p], score(asked, p))
+                gone(ready[at + len(part) : at + some])
+                at, some = at + some, 2 * some
+            gone(ready[at:])
             nodes = opened(nodes[~final])
 
     def opened(nodes: np.ndarray) -> np.ndarray:
@@ -172,11 +213,14 @@ def search(queries: np.ndarray, ids: np.ndarray, points: np.ndarray, best: Best,
         if last == 0:
             leaves(node, nodes)
             continue
-        nodes = nodes[bounds(node, nodes) >= best.worst(members(query_tree, node))]
+        able = bounds(node, nodes) >= best.worst(members(query_tree, node))
+        gone(nodes[~able])
+        nodes = nodes[able]
         # The side with the larger balls is opened: data nodes wider than the query node give way to their children.
         wide = (tree.radius_of[nodes] > query_tree.radius_of[node]) & (tree.children_of[nodes, 1] > 0)
         nodes = np.concatenate([nodes[~wide], opened(nodes[wide])])
         stack += [(child, nodes) for child in range(first, last)]
+    return tally
 
 
 def whole_vectors(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -223,7 +267,7 @@ def _search_block(points: DataFrame, rows: pd.DataFrame, k: int, block_rows: int
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterable[pd.DataFrame]:
         best = {size: Best(ids, k) for size, (ids, _) in shared.value.items()}
-        trees = {size: CoverTree(vectors) for size, (_, vectors) in shared.value.items()}
+        trees = {size: CoverTree(vectors, QUERY_LEAF, STEP) for size, (_, vectors) in shared.value.items()}
 
         def flush(parts: list[pd.DataFrame]) -> None:
             block = pd.concat(parts)
