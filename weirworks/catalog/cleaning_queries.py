@@ -24,7 +24,7 @@ from weirworks.operators.compare import removal_matrix, unpivot_columns
 from weirworks.operators.groups import label_trends
 from weirworks.plans import cleaning
 from weirworks.session import scratch_path
-from weirworks.sources import sinks, tables
+from weirworks.sources import publishing, sinks, tables
 
 COLUMNS = ("site_id", "site_name", "company", "region", "balance", *DIRTY_PERIODS)
 TEXTS = ("site_name", "company", "region")
@@ -235,6 +235,24 @@ def _(spark, sf_dir):
     return spark.read.parquet(sinks.write_table(cleaned, scratch_path(spark, "cleaned")))
 
 
+@query("publish_clean", f"{_CLEAN} SELECT {as_is(COLUMNS)} FROM cleaned")
+def _(spark, sf_dir):
+    """The raw rows published first, the cleaned ones over them; read back through the manifest."""
+    base, raw = scratch_path(spark, "published"), sites_raw(spark, sf_dir)
+    publishing.publish_tables({"sites": raw}, base)
+    publishing.publish_tables({"sites": cleaning.clean(raw, BASE)}, base)
+    return publishing.read_published(spark, base, "sites")
+
+
+@query("publish_earlier", f"{_RAW} SELECT * FROM sites_raw")
+def _(spark, sf_dir):
+    """The publication before the last one stays readable."""
+    base, raw = scratch_path(spark, "published"), sites_raw(spark, sf_dir)
+    publishing.publish_tables({"sites": raw}, base)
+    publishing.publish_tables({"sites": cleaning.clean(raw, BASE)}, base)
+    return publishing.read_published(spark, base, "sites", back=1)
+
+
 @query("write_report", f"{_CLEAN} {removals_sql()}")
 def _(spark, sf_dir):
     breakdown = cleaning.removal_breakdown(sites_raw(spark, sf_dir), BASE)

@@ -32,6 +32,7 @@ from weirworks.operators.rules import (
 )
 from weirworks.operators.schema import require_columns
 from weirworks.session import materialised
+from weirworks.sources.publishing import commit_version, new_version
 from weirworks.sources.sinks import write_report, write_snapshot, write_table
 
 
@@ -228,10 +229,14 @@ def cleaning_metrics(df: DataFrame, rules: CleaningRules) -> DataFrame:
 
 
 def cleaning_job(df: DataFrame, rules: CleaningRules, base: str, backup: bool = True) -> dict[str, str]:
-    """Snapshot, clean, score and write everything; returns the written paths."""
-    paths = {"backup": write_snapshot(df, f"{base}/backup")} if backup else {}
-    paths["cleaned"] = write_table(clean(df, rules), f"{base}/cleaned")
-    cleaned = df.sparkSession.read.parquet(paths["cleaned"])
+    """Snapshot, clean, score and write everything as one published version; returns the written paths.
+
+    The tables of an earlier run stay current until all of this one's are written.
+    """
+    spark, version = df.sparkSession, new_version(base)
+    paths = {"backup": write_snapshot(df, f"{version}/backup")} if backup else {}
+    paths["cleaned"] = write_table(clean(df, rules), f"{version}/cleaned")
+    cleaned = spark.read.parquet(paths["cleaned"])
     counts, removed = _audit(df, rules)
     counts = materialised(counts, "audit")  # one row
     scores = materialised(column_scores(cleaned), "scores")  # one row per column
@@ -241,7 +246,9 @@ def cleaning_job(df: DataFrame, rules: CleaningRules, base: str, backup: bool =
         "column_scores": scores,
         "score": score_from_columns(scores),
     }
-    return {**paths, **write_report(tables, f"{base}/report")}
+    paths |= write_report(tables, f"{version}/report")
+    commit_version(spark, base, version, paths)
+    return paths
 
 
 def strategy_rules(base: CleaningRules) -> dict[str, CleaningRules]:
