@@ -1,6 +1,7 @@
 from dataclasses import replace
 
 import pytest
+from pyspark.sql import functions as F
 
 from weirworks.operators.profile import categorical_profile, duplicate_count, missing_overall, numeric_profile, score_dataset
 from weirworks.plans import cleaning, reports
@@ -60,6 +61,41 @@ def test_removals_and_figures_add_up(spark, name):
     assert figures.duplicate_reduction == before - after
 
 
+def test_all_strategies_from_one_scan_equal_each_alone(spark, capfd):
+    strategies = cleaning.strategy_rules(RULES) | {
+        "keep_copies": replace(RULES, deduplicate=False, blank_outliers=False),
+        "text_fill": replace(RULES, fill=True, fill_value="?"),
+        "other_bounds": replace(RULES, bounds={"lat": (0.0, 6.0)}),
+    }
+    df = frame(spark).unionAll(frame(spark).limit(3)).repartition(3)
+    together = {r.strategy: r for r in cleaning.strategy_summary(df, strategies).collect()}
+    removed = cleaning.strategy_removals(df, strategies)
+    found = sorted(map(tuple, removed.collect()))
+    assert list(together) and set(together) == set(strategies)
+    for name, rules in strategies.items():
+        alone = cleaning.cleaning_metrics(df, rules).first()
+        assert tuple(together[name])[1:] == tuple(alone)
+        cleaned = cleaning.clean(df, rules)
+        assert together[name].rows_out == cleaned.count()
+        assert together[name].final_missing_percent == pytest.approx(missing_overall(cleaned).first().missing_percent)
+        steps = sorted((name, r.step, r.rule, r.rows_removed) for r in cleaning.removal_breakdown(df, rules).collect())
+        assert [row for row in found if row[0] == name] == steps
+    cleaning.strategy_removals(df, strategies).explain("simple")
+    plan = capfd.readouterr().out
+    assert 1 <= plan.count("Scan ExistingRDD") + plan.count("LocalTableScan") <= 2 and plan.count("Exchange hashpartitioning(raw") == 1  # the two halves of the union, once each
+
+
+def test_strategies_on_empty_and_clashing_tables(spark):
+    strategies = cleaning.strategy_rules(RULES)
+    empty = frame(spark).limit(0)
+    assert sorted((r.strategy, r.rows_in, r.rows_out) for r in cleaning.strategy_summary(empty, strategies).collect()) == sorted((n, 0, 0) for n in strategies)
+    assert cleaning.strategy_removals(empty, strategies).count() == 0
+    odd = frame(spark).withColumns({c: F.lit(1) for c in ("at", "row", "rule", "copies", "missing", "strategy", "vector")})
+    assert cleaning.strategy_summary(odd, strategies).count() == len(strategies)
+    with pytest.raises(ValueError, match="__audit_raw"):
+        cleaning.cleaning_metrics(frame(spark).withColumn("__audit_raw", F.lit(1)), RULES)
+
+
 def test_duplicates_can_stay(spark):
     rules = replace(RULES, deduplicate=False)
     figures = cleaning.cleaning_metrics(frame(spark), rules).first()

@@ -15,6 +15,7 @@ import uuid
 from collections.abc import Mapping
 from datetime import datetime, timezone
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 from weirworks.session import drop_path
@@ -73,10 +74,13 @@ def commit_version(spark: SparkSession, base: str, version: str, tables: Mapping
     number = max(_numbers(spark, base), default=0) + 1
     while True:
         files, path = _store(spark, f"{base}/{_MANIFESTS}/{number:012d}")
-        if files.exists(path):  # another run was quicker
-            number += 1
+        try:
+            stream = files.create(path, False)
+        except Py4JJavaError:
+            if not files.exists(path):
+                raise
+            number += 1  # another run was quicker
             continue
-        stream = files.create(path, False)
         try:
             stream.write(bytearray(json.dumps(content).encode("utf-8")))
         finally:
