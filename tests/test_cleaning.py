@@ -92,6 +92,8 @@ def test_strategies_on_empty_and_clashing_tables(spark):
     assert cleaning.strategy_removals(empty, strategies).count() == 0
     odd = frame(spark).withColumns({c: F.lit(1) for c in ("at", "row", "rule", "copies", "missing", "strategy", "vector")})
     assert cleaning.strategy_summary(odd, strategies).count() == len(strategies)
+    idle = cleaning.CleaningRules(strict=False, deduplicate=False, fill=True)
+    assert cleaning.strategy_removals(frame(spark), {"idle": idle}).count() == 0
     with pytest.raises(ValueError, match="__audit_raw"):
         cleaning.cleaning_metrics(frame(spark).withColumn("__audit_raw", F.lit(1)), RULES)
 

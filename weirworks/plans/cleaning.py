@@ -316,6 +316,8 @@ def strategy_summary(df: DataFrame, strategies: Mapping[str, CleaningRules]) ->
 def strategy_removals(df: DataFrame, strategies: Mapping[str, CleaningRules]) -> DataFrame:
     """(strategy, step, rule, rows_removed) over all strategies, all from one scan and one grouping of the raw rows."""
     counts, removes = _audits(df, strategies)
+    if not any(removes.values()):  # nothing that could remove a row
+        return df.sparkSession.createDataFrame([], "strategy string, step int, rule string, rows_removed long")
     rows = [
         F.struct(F.lit(name).alias("strategy"), F.lit(i + 1).alias("step"), F.lit(rule).alias("rule"), F.col(rule).alias("rows_removed"))
         for name, rules in removes.items()
