@@ -6,6 +6,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from weirworks.llm import probminhash as near
 from weirworks.llm.components import components
@@ -131,3 +132,23 @@ def test_pairs_of_a_large_bucket_are_verified_whatever_their_registers(spark):
     members = spark.createDataFrame(rows, "doc long, root long, team long, sig array<int>, feature binary")
     links = {tuple(sorted(r)) for r in near._block_links(members, rules).collect()}
     assert links == {(1, 2)}
+
+
+def test_cells_of_one_large_group_are_dealt_over_tasks(spark):
+    rules = near.NearRules(block=4)
+    feature = near.packed(" ".join(f"w{i}" for i in range(60)), rules.words)
+    rows = [(doc, doc, 1, [7] * rules.registers, feature) for doc in range(1, 41)]
+    members = spark.createDataFrame(rows, "doc long, root long, team long, sig array<int>, feature binary")
+    # As in a group too large to be broadcast: a join deals its rows by team.
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "8"}
+    old = {key: spark.conf.get(key, None) for key in conf}
+    try:
+        for key, value in conf.items():
+            spark.conf.set(key, value)
+        links = near._block_links(members, rules).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for key, value in old.items():
+            spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
+    assert len({r.task for r in links}) > 4
+    found = {r.node for r in components(spark.createDataFrame([(r.a, r.b) for r in links], "a long, b long")).where("root = 1").collect()}
+    assert found == set(range(2, 41))

@@ -17,11 +17,10 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     joined = both.join(least, "u")
-    if large:
-        moved = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        moved = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
-    return moved.where("u <> v").distinct()
+    if large:  # a row for each edge at most: only what a small step leaves has its repeats taken out
+        return joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    moved = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
+    return joined.select(F.inline(moved)).where("u <> v").distinct()
 
 
 def _only_stars(edges: DataFrame) -> bool:

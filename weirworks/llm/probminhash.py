@@ -5,10 +5,11 @@
    first. A shingle is done once its next arrival is later than the latest first arrival of all registers. Two registers
    agree with a chance of exactly the probability Jaccard similarity.
 2. Identical texts are one representative. Representatives that share a band of ``rows`` registers are candidates.
-3. Candidates are verified by the exact similarity of their shingles. A bucket first compares its members with one pivot;
-   members that are then connected need no more comparisons among themselves. In a bucket that is still divided, all
-   pairs between different components follow: pair by pair in small buckets, in blocks against blocks in large ones,
-   where only links leave the task. No pair within a bucket is skipped unless it is connected already.
+3. Candidates are verified by the exact similarity of their shingles. A document is first compared with the smallest pivot
+   of its buckets, then with the pivots of its large ones; members that are then connected need no more comparisons among
+   themselves. In a bucket that is still divided, all pairs between different components follow: pair by pair in small
+   buckets, in blocks against blocks in large ones, where only links leave the task and every cell of two blocks is dealt
+   out by itself. No pair within a bucket is skipped unless it is connected already.
 4. Links become classes: the smallest doc_id of a component.
 
 Definitions: words are lower-cased runs of letters, digits and underscores. A text of one to four words is one shingle. A
@@ -21,12 +22,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -220,28 +223,36 @@ def sign(docs: DataFrame, rules: NearRules) -> DataFrame:
 
 
 def _pair_links(pairs: DataFrame, features: DataFrame, rules: NearRules) -> DataFrame:
-    """(a, b) of the pairs that reach the threshold."""
+    """(a, b): the roots of the pairs that reach the threshold. ``pairs``: a, b, a_root, b_root."""
     left = features.select(F.col("doc_id").alias("a"), F.col("feature").alias("fa"))
     right = features.select(F.col("doc_id").alias("b"), F.col("feature").alias("fb"))
-    return _verified(pairs.join(left, "a").join(right, "b").select("a", "b", "fa", "fb"), rules)
+    # A pivot is the b of many pairs: its rows are split over many tasks, which are better few where Python runs.
+    return _verified(pairs.join(right, "b").join(left, "a").select("a_root", "b_root", "fa", "fb"), rules)
 
 
 def _verified(rows: DataFrame, rules: NearRules) -> DataFrame:
+    """The first two columns of the rows whose features, the next two, reach the threshold."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
             ok = [
                 probability_jaccard(unpacked(x.as_py()), unpacked(y.as_py())) >= rules.threshold
                 for x, y in zip(batch.column(2), batch.column(3), strict=True)
             ]
-            yield batch.select([0, 1]).filter(pa.array(ok, type=pa.bool_()))
+            yield batch.select([0, 1]).rename_columns(["a", "b"]).filter(pa.array(ok, type=pa.bool_()))
 
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _labels(buckets: DataFrame, links: DataFrame) -> DataFrame:
+def _labels(buckets: DataFrame, roots: DataFrame) -> DataFrame:
     """The bucket rows with the component of each document so far."""
-    roots = components(links).select(F.col("node").alias("doc"), "root")
-    return buckets.join(roots, "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+    found = roots.select(F.col("node").alias("doc"), "root")
+    return buckets.join(found, "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+
+
+def _edges(roots: DataFrame) -> DataFrame:
+    """Components as the links that hold them together."""
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
 
 
 def _divided(labelled: DataFrame) -> DataFrame:
@@ -254,40 +265,49 @@ def _divided(labelled: DataFrame) -> DataFrame:
 
 
 def _block_links(members: DataFrame, rules: NearRules) -> DataFrame:
-    """Links between different components of a large group, block against block.
+    """Links (a, b) between the roots of different components of a large group, block against block.
 
     ``members``: doc, root, team, sig, feature. Every document outside its team's largest component meets every other.
     """
     sizes = members.groupBy("team", "root").agg(F.count(F.lit(1)).alias("n"))
-    teams = sizes.groupBy("team").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"))
-    rows = members.join(teams, "team").where("n > most")
+    teams = sizes.groupBy("team").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most")).where("n > most")
+    rows = members.join(materialised(teams, "teams"), "team")
     all_blocks = F.ceil(F.col("n") / rules.block).cast("int")
     open_blocks = F.ceil((F.col("n") - F.col("most")) / rules.block).cast("int")
     at = F.xxhash64("doc")
     column = F.pmod(at, all_blocks).cast("int")
     row = F.pmod(at, open_blocks).cast("int")
-    part = ["team", "doc", "root", "sig", "feature"]
-    right = rows.select(*part, F.lit(False).alias("opened"), column.alias("j"), F.explode(F.sequence(F.lit(0), open_blocks - 1)).alias("i"))
-    left = rows.where("root <> main").select(*part, F.lit(True).alias("opened"), row.alias("i"), F.explode(F.sequence(F.lit(0), all_blocks - 1)).alias("j"))
+
+    def cell(opened: bool, i: Column, j: Column) -> Column:
+        return F.struct(F.lit(opened).alias("opened"), i.alias("i"), j.alias("j"))
+
+    right = F.transform(F.sequence(F.lit(0), open_blocks - 1), lambda i: cell(False, i, column))
+    left = F.transform(F.sequence(F.lit(0), all_blocks - 1), lambda j: cell(True, row, j))
+    cells = F.when(F.col("root") == F.col("main"), right).otherwise(F.concat(right, left))
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         ups, rest = group[group["opened"]], group[~group["opened"]]
-        out = []
+        # Components so far: a link joins two, whose other pairs in this cell need no comparison.
+        roots = np.concatenate([ups["root"], rest["root"]]).astype(np.int64)
+        labels = roots.copy()
         if len(ups) and len(rest):
+            mine, theirs = labels[: len(ups)], labels[len(ups) :]
             sig = np.stack(rest["sig"].to_numpy())
-            roots, docs = rest["root"].to_numpy(), rest["doc"].to_numpy()
             block = Block([unpacked(f) for f in rest["feature"]])
-            for doc, root, own, feature in zip(ups["doc"], ups["root"], ups["sig"], ups["feature"], strict=True):
+            for k, (own, feature) in enumerate(zip(ups["sig"], ups["feature"], strict=True)):
                 same = sig == np.asarray(own)[None, :]
-                able = same.reshape(len(sig), rules.bands, rules.rows).all(2).any(1) & (roots != root)
+                able = same.reshape(len(sig), rules.bands, rules.rows).all(2).any(1) & (theirs != mine[k])
                 if able.any():
                     alike = block.similarities(unpacked(feature), able) >= rules.threshold
-                    # One link joins two components.
-                    out += [(int(doc), int(docs[k])) for k in np.flatnonzero(alike)[np.unique(roots[alike], return_index=True)[1]]]
+                    joined = np.append(theirs[alike], mine[k])
+                    labels[np.isin(labels, joined)] = joined.min()
+        out = sorted({(a, b) for a, b in zip(roots.tolist(), labels.tolist(), strict=True) if a != b})
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    grouped = left.unionByName(right).groupBy("team", "i", "j")
-    return grouped.applyInPandas(compare, "a long, b long")
+    part = ["team", "doc", "root", "sig", "feature"]
+    spread = rows.select(*part, F.explode(cells).alias("cell")).select(*part, "cell.*")
+    # Dealt by cell: rows that a join has dealt by team would count as grouped, and all cells of a team would be one task's.
+    return spread.repartition("team", "i", "j").groupBy("team", "i", "j").applyInPandas(compare, "a long, b long")
 
 
 def near_classes(docs: DataFrame, rules: NearRules = NearRules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -298,7 +318,22 @@ def near_classes(docs: DataFrame, rules: NearRules = NearRules(), id_col: str =
     signed = materialised(sign(source, rules), "signatures")
     # Stored before it is joined, here and below: a join of two plain exchanges is one whose hot keys can be split.
     least = materialised(signed.groupBy("digest").agg(F.min("doc_id").alias("rep")), "representatives")
-    copies = materialised(signed.select("doc_id", "digest").join(least, "digest").select("doc_id", "rep").distinct(), "copies")
+    copies = signed.select("doc_id", "digest").join(least, "digest").select("doc_id", "rep")
+    with ThreadPoolExecutor(1) as beside:  # two jobs at a time: one's last tasks leave cores to the other
+        stored = beside.submit(inheritable_thread_target(spark)(materialised), copies, "copies")
+        links = _near_links(source, signed, least, rules, beside)
+        copies = stored.result()
+
+    again = copies.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    roots = components(links.unionAll(again))
+    every = copies.select("doc_id").distinct().join(roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left")
+    classes = every.select("doc_id", F.coalesce("root", "doc_id").alias("class_id"))
+    sizes = classes.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
+    return classes.join(sizes, "class_id").select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("is_kept"))
+
+
+def _near_links(source: DataFrame, signed: DataFrame, least: DataFrame, rules: NearRules, beside: ThreadPoolExecutor) -> DataFrame:
+    """(a, b): links that hold the components of the representatives together. ``beside`` runs jobs next to others."""
     reps = least.select(F.col("rep").alias("doc_id"))
 
     banded = signed.where("sig IS NOT NULL").select("doc_id", F.array(*[_band_key(i, rules) for i in range(rules.bands)]).alias("keys"))
@@ -313,32 +348,34 @@ def near_classes(docs: DataFrame, rules: NearRules = NearRules(), id_col: str =
     centres = features.where("is_pivot").select(F.col("doc_id").alias("b"), F.col("feature").alias("fb"))
     links = materialised(_verified(stars.join(centres, "b").select("a", "b", "fa", "fb"), rules), "links")
 
-    # The other pivots, where they could still join components.
-    labelled = _divided(_labels(buckets.select("key", "doc"), links))
-    more = labelled.where("root <> pivot_root").select(F.col("doc").alias("a"), F.col("pivot").alias("b")).distinct()
+    # The other pivots of large buckets, where they could still join components.
+    roots = components(links)
+    labelled = _divided(_labels(buckets.select("key", "doc"), roots)).where(F.col("size") > rules.small_bucket)
+    more = labelled.where("root <> pivot_root").select(
+        F.col("doc").alias("a"), F.col("pivot").alias("b"), F.col("root").alias("a_root"), F.col("pivot_root").alias("b_root")
+    )
     done = features.select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"))
-    links = materialised(links.unionAll(_pair_links(more.join(done, ["a", "b"], "left_anti"), features, rules)), "links")
+    links = materialised(_pair_links(more.distinct().join(done, ["a", "b"], "left_anti"), features, rules), "links")
 
     # What is left of divided buckets: every pair between components.
-    left = materialised(_divided(_labels(buckets.select("key", "doc"), links)), "divided")
+    roots = components(_edges(roots).unionAll(links))
+    left = materialised(_divided(_labels(buckets.select("key", "doc"), roots)), "divided")
     small = left.where(F.col("size") <= rules.small_bucket)
-    pairs = small.alias("x").join(small.alias("y"), "key").where("x.doc < y.doc AND x.root <> y.root AND x.doc <> x.pivot")
-    pair_links = _pair_links(pairs.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct(), features, rules)
-    large = left.where(F.col("size") > rules.small_bucket)
-    teams = components(large.select(F.col("doc").alias("a"), F.col("pivot").alias("b")).distinct())
-    members = large.select("doc", "root").distinct().join(
-        teams.unionAll(teams.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("doc"), F.col("root").alias("team")), "doc"
+    pairs = small.alias("x").join(small.alias("y"), "key").where("x.doc < y.doc AND x.root <> y.root").select(
+        F.col("x.doc").alias("a"), F.col("y.doc").alias("b"), F.col("x.root").alias("a_root"), F.col("y.root").alias("b_root")
     )
-    detailed = members.join(signed.select(F.col("doc_id").alias("doc"), "sig").dropDuplicates(["doc"]), "doc").join(
-        features.select(F.col("doc_id").alias("doc"), "feature"), "doc"
+    pair_links = beside.submit(
+        inheritable_thread_target(source.sparkSession)(materialised), _pair_links(pairs.distinct(), features, rules), "links"
     )
-    links = materialised(links.unionAll(pair_links).unionAll(_block_links(detailed, rules)), "links")
-
-    roots = components(links.unionAll(copies.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
-    every = copies.select("doc_id").distinct().join(roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left")
-    classes = every.select("doc_id", F.coalesce("root", "doc_id").alias("class_id"))
-    sizes = classes.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
-    return classes.join(sizes, "class_id").select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("is_kept"))
+    large = left.where(F.col("size") > rules.small_bucket)
+    teams = components(large.select(F.col("doc").alias("a"), F.col("pivot").alias("b")).distinct())
+    nodes = teams.unionAll(teams.select(F.col("root").alias("node"), "root").distinct())
+    members = large.select("doc", "root").distinct().join(nodes.select(F.col("node").alias("doc"), F.col("root").alias("team")), "doc")
+    sigs = signed.select(F.col("doc_id").alias("doc"), "sig")
+    detailed = materialised(members, "members").join(sigs, "doc").dropDuplicates(["doc"]).join(features.select(F.col("doc_id").alias("doc"), "feature"), "doc")
+    detailed = materialised(detailed, "detailed")
+    block_links = materialised(_block_links(detailed, rules), "links")
+    return _edges(roots).unionAll(pair_links.result()).unionAll(block_links)
 
 
 def _band_key(band: int, rules: NearRules) -> Column:
