@@ -3,7 +3,7 @@ import pytest
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from weirworks.operators import features, merged, regression, tuning
+from weirworks.operators import features, lloyd, merged, regression, tuning
 from weirworks.operators.ensembles import AdaBoostR2
 from weirworks.operators.forests import ForestModel, GrownBoost, GrownTree, forest
 from weirworks.operators.growth import BINS, Cut, Forest, borders, weighted_median
@@ -123,3 +123,20 @@ def test_odd_rows_are_refused(spark, rows):
 
 def test_weighted_median_by_hand():
     assert weighted_median(np.array([[1.0, 2.0], [9.0, 0.0], [5.0, 1.0]]), np.array([1.0, 1.0, 3.0])).tolist() == [5.0, 1.0]
+
+
+def test_runs_in_tasks_are_those_of_passes(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(c, 0.8, (60, 3)) for c in ([0, 0, 1], [5, 1, 0], [2, 6, 3])])
+    df = spark.createDataFrame([tuple(map(float, r)) for r in np.concatenate([x, x[:30]])], "p double, q double, r double")
+    wanted = [(k, seed) for k in (1, 2, 4) for seed in range(3)]
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("held", "held")
+    ours = lloyd.batched_kmeans(df, ["p", "q", "r"], wanted)
+    assert len(jobs.getJobIdsForGroup("held")) < 10  # not one for each pass
+    spark.sparkContext.setJobGroup("passes", "passes")
+    monkeypatch.setattr(lloyd, "HELD_NUMBERS", 0)
+    passes = lloyd.batched_kmeans(df, ["p", "q", "r"], wanted)
+    for a, b in zip(ours, passes, strict=True):
+        assert np.allclose(a.centres, b.centres) and a.cost == pytest.approx(b.cost)
+        assert (a.k, a.seed, a.rests, a.passes) == (b.k, b.seed, b.rests, b.passes)
